@@ -19,6 +19,7 @@ there is no other (then all are responses). Empty tables give no archives and no
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -55,8 +56,8 @@ def _record(date: str) -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, records: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Archives of the rows in the folder path."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, records: int = 1000, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
+    """Archives of the rows in the folder path; compression is gzip or none."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1(F.col("payload").cast("binary")).alias("digest"))
@@ -65,7 +66,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     linked = rows.join(same, ["digest", "size"], "left")
     refers = F.when(F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top")), F.col("top"))
     out = linked.withColumn("refers_to", refers).select(_record(date).alias("value"))
-    out.write.option("lineSep", "\r\n").option("maxRecordsPerFile", records).text(path)
+    out.write.option("lineSep", "\r\n").option("maxRecordsPerFile", records).option("compression", compression).text(path)
 
 
 def successor(data: bytes, at: int) -> tuple[int, int, int] | None:
@@ -134,6 +135,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
                 data, rows = bytes(data), []
+                if name.endswith(".gz"):
+                    data = gzip.decompress(data)
                 for at in candidates(data):
                     found = successor(data, at)
                     if found is None:
