@@ -197,22 +197,22 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = 5000, s
     spark = docs.sparkSession
     texts = docs.select("doc", F.col("text").cast("string").alias("text"))
     found = cut(texts.mapInArrow(_find(window, gram), "mh long, ch long, doc long, at int, n int"))
-    counted = found.groupBy("mh").agg(F.count("*").alias("k"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("k > 1").select("mh", (F.col("lo") != F.col("hi")).alias("mixed"))
+    counted = cut(found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh"))
     shared = cut(found.join(counted.hint("shuffle_hash"), "mh"))
     release(spark)
     place = F.struct("doc", "at")
-    first = cut(shared.groupBy("mh", "ch").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.first("mixed").alias("mixed")))
+    first = cut(shared.groupBy("mh", "ch").agg(F.min(place).alias("first"), F.max("n").alias("n")))
     copies = shared.join(first.select("mh", "ch", "first"), ["mh", "ch"]).where(place > F.col("first")).select("doc", "at", "n")
-    mixed = first.where("mixed").select("mh", "first.doc", "first.at", "n")
-    heat = mixed.groupBy("mh").agg(F.count("*").alias("k")).select("mh", (F.col("k") > hot).alias("hot"))
-    wanted = mixed.join(heat, "mh").groupBy("doc").agg(F.collect_list(F.struct("mh", "at", "n", "hot")).alias("wanted"))
+    heat = first.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh", (F.col("k") > hot).alias("hot"))
+    mixed = first.select("mh", "first.doc", "first.at", "n").join(heat, "mh")
+    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("mh", "at", "n", "hot")).alias("wanted"))
     pieces = cut(texts.join(wanted, "doc").mapInArrow(_cut_out(window), "mh long, doc long, at int, n int, words binary, wl long, wh long"))
     release(spark)
     cold = pieces.where("words is not null").select("mh", "doc", "at", "n", "words")
     shards = max(partitions(spark), -(-cold.count() // segments_in_shard))
     indexed = cold.repartition(shards, "mh").select("doc", "at", "n", "words").mapInArrow(_shard(window), "doc long, at int, n int")
     windows = pieces.where("words is null").select("doc", "at", "wl", "wh")
-    earliest = windows.groupBy("wl", "wh").agg(F.min(place).alias("first"))
+    earliest = cut(windows.groupBy("wl", "wh").agg(F.min(place).alias("first")))
     heated = windows.join(earliest, ["wl", "wh"]).where(place > F.col("first")).select("doc", "at", F.lit(1).alias("n"))
     return cut(copies.unionByName(indexed).unionByName(heated))
 
