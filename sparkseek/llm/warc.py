@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 MAGIC = b"WARC/1.0\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -62,7 +64,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1(F.col("payload").cast("binary")).alias("digest"))
     # only payloads that occur more than once go into the table of originals
-    same = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("id").alias("top"), F.count("*").alias("k")).where("k > 1").select("digest", "size", "top")
+    same = cut(rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("id").alias("top"), F.count("*").alias("k")).where("k > 1").select("digest", "size", "top"))
     linked = rows.join(same, ["digest", "size"], "left")
     refers = F.when(F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top")), F.col("top"))
     out = linked.withColumn("refers_to", refers).select(_record(date).alias("value"))
