@@ -6,7 +6,8 @@ of four to six characters (words inflect), one plus the logarithm of its count;
 
 The labels are binary, so grades of the training rows are derived: clean rows are grade 0. Words and prefixes that
 are significantly more common in toxic than in clean rows are markers, and a toxic row's grade is how many
-markers of a kind it has, 1 at least, cut at `grades`. Toxic rows without a marker are grade 1. The likelihood
+markers of a kind it has, 1 at least, cut at `grades`. Toxic rows without a marker are grade 1. Only buckets whose
+share differs by three standard errors or more have weights. The likelihood
 is maximised over at most `sample` labelled rows (those with the least CRC-32 of salted id) by gradient
 steps; thresholds are kept apart by exponents.
 
@@ -61,8 +62,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts[None, :], -60, 60)))
 
 
-def _markers(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, least: float) -> np.ndarray:
-    """Buckets whose share of toxic rows is beyond that of clean rows by many standard errors and times."""
+def _screen(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(z, ratio) of each bucket: by how many standard errors, and how many times, its share of toxic rows is beyond that of clean rows."""
     seen = np.zeros((2, BUCKETS))
     for (at, _), y in zip(rows, toxic, strict=True):
         seen[int(y)][np.unique(at)] += 1
@@ -70,18 +71,21 @@ def _markers(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, least
     p, q = seen[1] / max(1, n[1]), seen[0] / max(1, n[0])
     both = seen.sum(axis=0) / max(1, n.sum())
     z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / max(1, n[0]) + 1 / max(1, n[1])))
-    return (z >= least) & (p >= 8 * q) & (seen[1] >= 5)
+    return np.where(seen.sum(axis=0) >= 4, z, 0.0), p / np.maximum(q, 1e-9)
 
 
 def solve(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grades: int, steps: int, ridge: float) -> Model:
     """The weights and thresholds of greatest penalised likelihood, by Adam steps over all rows."""
-    markers = _markers(rows, toxic, 6.0)
+    z, ratio = _screen(rows, toxic)
+    markers = (z >= 4) & (ratio >= 8)
     hits = np.array([max(markers[at[at // RANGE == i]].sum() for i in range(len(PREFIXES))) for at, _ in rows])
     grade = np.where(toxic, np.clip(hits, 1, grades), 0)
-    used, flat = np.unique(np.concatenate([at for at, _ in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(at) for at, _ in rows])
-    value = np.concatenate([w for _, w in rows])
-    passed = (grade[:, None] >= np.arange(1, grades + 1)[None, :]).astype(float)
+    # only words that tell the kinds apart; the others would fit the sample's noise
+    telling = np.abs(z) >= 3
+    everywhere = np.concatenate([at for at, _ in rows])
+    used, flat = np.unique(everywhere[telling[everywhere]], return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(at) for at, _ in rows])[telling[everywhere]]
+    value = np.concatenate([w for _, w in rows])[telling[everywhere]]
     theta = np.zeros(len(used) + grades)
     theta[len(used)] = 2.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -110,7 +114,7 @@ def solve(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grades:
     return Model(weights, gaps[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps[1:])))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, grades: int = 3, steps: int = 200, ridge: float = 5e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, grades: int = 3, steps: int = 200, ridge: float = 5e-4) -> Model:
     """A model of at most `sample` labelled documents; half of the sample at most are toxic rows."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z and y in (0, 1)")
     order = [F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string"))), "id"]
