@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from ._common import slices
 
 NONE = 1 << 62
-KEEP = 600_000  # encoded matches that a worker keeps
+KEEP = 300_000  # encoded matches in each of a worker's two generations
 
 
 class Codec:
@@ -35,13 +37,19 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {i: t for t, i in ranks.items()}
         self.bytes = [ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank of each pair of tokens that are together a token."""
+        ranks, out = self.ranks, {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = rank
-        self.kept: dict[str, bytes] = {}
+                    out[a << 32 | b] = rank
+        return out
 
     def merges(self, match: bytes) -> list[int]:
         """The ids of one match."""
@@ -54,7 +62,7 @@ class Codec:
         width = 1 << (n - 2).bit_length() if n > 2 else 1
         tree = [NONE] * (2 * width)
         for i in range(n - 1):
-            rank = pair((ids[i], ids[i + 1]))
+            rank = pair(ids[i] << 32 | ids[i + 1])
             if rank is not None:
                 tree[width + i] = rank << 40 | i
         for i in range(width - 1, 0, -1):
@@ -83,13 +91,13 @@ class Codec:
                 put(j, NONE)
             if k < n:
                 before[k] = i
-                rank = pair((ids[i], ids[k]))
+                rank = pair(ids[i] << 32 | ids[k])
                 put(i, NONE if rank is None else rank << 40 | i)
             else:
                 put(i, NONE)
             h = before[i]
             if h >= 0:
-                rank = pair((ids[h], ids[i]))
+                rank = pair(ids[h] << 32 | ids[i])
                 put(h, NONE if rank is None else rank << 40 | h)
         out, i = [], 0
         while i < n:
@@ -98,19 +106,20 @@ class Codec:
         return out
 
     def _new(self, match: str) -> bytes:
-        raw = match.encode()
-        rank = self.ranks.get(raw)
-        found = np.array([rank] if rank is not None else self.merges(raw), "<u4").tobytes()
+        found = self.older.get(match)
+        if found is None:
+            raw = match.encode()
+            rank = self.ranks.get(raw)
+            found = pack("<I", rank) if rank is not None else pack(f"<{len(ids := self.merges(raw))}I", *ids)
         if len(match) <= 64:
             if len(self.kept) >= KEEP:
-                self.kept.clear()
+                self.kept, self.older = {}, self.kept
             self.kept[match] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        kept = self.kept.get
-        return b"".join([kept(m) or self._new(m) for m in self.split(text)])
+        return b"".join([self.kept.get(m) or self._new(m) for m in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
