@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, partitions, raw, release, slices
+from ._common import cut, drop, partitions, raw, release, slices
 from .fmindex import FMIndex
 
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -188,8 +188,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return df
     own = docs.withColumns({"__i": F.col(id_col).cast("long"), "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     keys = own.select("__i", "__h").distinct().orderBy(F.col("__i").asc_nulls_last(), "__h")
-    numbers = cut(keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("i long, h long, __doc long"))
-    return own.join(numbers, F.col("__i").eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h"))).drop("__i", "__h", "i", "h")
+    numbers = cut(keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("__ni long, __nh long, __doc long"))
+    return own.join(numbers, F.col("__i").eqNullSafe(F.col("__ni")) & (F.col("__h") == F.col("__nh"))).drop("__i", "__h", "__ni", "__nh")
 
 
 def repeats(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = 5000, segments_in_shard: int = 20_000) -> DataFrame:
@@ -199,6 +199,7 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = 5000, s
     found = cut(texts.mapInArrow(_find(window, gram), "mh long, ch long, doc long, at int, n int"))
     counted = cut(found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh"))
     shared = cut(found.join(counted.hint("shuffle_hash"), "mh"))
+    drop(found)
     release(spark)
     place = F.struct("doc", "at")
     first = cut(shared.groupBy("mh", "ch").agg(F.min(place).alias("first"), F.max("n").alias("n")))
