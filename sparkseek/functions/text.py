@@ -31,7 +31,8 @@ def split_identifier(token: Column) -> Column:
     snake = F.filter(F.split(low, "_"), lambda p: p != "")
     camel = F.transform(F.regexp_extract_all(token, _pattern(CAMEL), F.lit(0)), lambda p: F.lower(p))
     parts = F.when(F.contains(token, F.lit("_")), snake).otherwise(camel)
-    return F.when(F.size(parts) >= 2, F.concat(F.array(low), parts)).otherwise(F.array(low))
+    # most tokens are plain words: the first test spares them the rest
+    return F.when(token.rlike("^[A-Z]?[a-z]+$"), F.array(low)).when(F.size(parts) >= 2, F.concat(F.array(low), parts)).otherwise(F.array(low))
 
 
 def tokenize(text: Column) -> Column:

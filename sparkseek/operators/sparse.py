@@ -52,10 +52,10 @@ def scores(tokenized: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = asked.select("term").distinct()
     exploded = tokenized.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     counted = exploded.join(wanted, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    of_all = corpus(tokenized)
-    stats = term_stats(counted, of_all)
+    dfs = counted.groupBy("term").agg(F.count("*").alias("df"))
+    stats = dfs.join(F.broadcast(corpus(tokenized))).select("term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))  # one row of the corpus
     weight = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = counted.join(stats, "term").join(F.broadcast(of_all)).select("term", "chunk_id", weight.alias("w"))
+    weighted = counted.join(stats, "term").select("term", "chunk_id", weight.alias("w"))
     return asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 9).alias("score"))
 
 

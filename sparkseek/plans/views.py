@@ -10,10 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt out to all of them before costly expressions; larger tables as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one chunk of a file source/lang/doc_<id>.txt."""
     path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), path.alias("file_path"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("language"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), path.alias("file_path"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("language"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
