@@ -121,6 +121,10 @@ class Codec:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         return b"".join([self.kept.get(m) or self._new(m) for m in self.split(text)])
 
+    def forget(self) -> None:
+        """Drops the kept matches; a worker that waits for its next task holds none."""
+        self.kept, self.older = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -149,8 +153,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([own.encode(t or "") for t in part.column("text").to_pylist()], pa.binary())], ["id", "ids"])
+        own.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -166,7 +171,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
-            for part in slices(batch, ids_col, 8 << 20):
+            for part in slices(batch, ids_col, 2 << 20):
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array([own.decode(x or b"") for x in part.column(ids_col).to_pylist()], pa.binary())], [*names, "decoded"])
 
     return kept.mapInArrow(run, kept.withColumn("decoded", F.lit(b"")).schema)

@@ -41,7 +41,7 @@ from ._common import cut, drop, partitions, raw, release, slices
 from .fmindex import FMIndex
 
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
