@@ -1,4 +1,4 @@
-"""Command line: search, find-related, savings, init."""
+"""Command line: search, find-related, savings, init, download-model, serve."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ Run `python -m sparkseek search "<what you look for>" <path>` to find code by me
 """
 
 
-def _index(path: str):
+def _index(path: str, ref: str | None = None):
     from pyspark.sql import SparkSession
 
     from .functions.text import GIT_URL
@@ -25,7 +25,7 @@ def _index(path: str):
     encoder = models.load() if os.environ.get("SPARKSEEK_MODEL") else None
     import re
 
-    return Index.from_git(spark, path, encoder=encoder) if re.match(GIT_URL, path) else Index.from_path(spark, path, encoder=encoder)
+    return Index.from_git(spark, path, ref, encoder=encoder) if re.match(GIT_URL, path) else Index.from_path(spark, path, encoder=encoder)
 
 
 def main(args: list[str] | None = None, build=_index, out=print) -> int:
@@ -46,7 +46,27 @@ def main(args: list[str] | None = None, build=_index, out=print) -> int:
     init = verbs.add_parser("init")
     init.add_argument("--force", action="store_true")
     init.add_argument("--file", default="AGENTS.md")
+    download = verbs.add_parser("download-model")
+    download.add_argument("url", help="where tokenizer.json, model.safetensors and config.json are")
+    download.add_argument("folder")
+    serve = verbs.add_parser("serve")
+    serve.add_argument("path", nargs="?")
+    serve.add_argument("--ref")
     a = parser.parse_args(args)
+    if a.verb == "download-model":
+        from .sources import models
+
+        try:
+            out(f"{len(models.download(a.url, a.folder))} files fetched to {a.folder}")
+        except OSError as e:
+            print(f"Download failed: {e}", file=sys.stderr)
+            return 1
+        return 0
+    if a.verb == "serve":
+        from .service import Service
+
+        Service(build, a.path, a.ref).serve()
+        return 0
     if a.verb == "init":
         if os.path.exists(a.file) and not a.force:
             print(f"{a.file} already exists", file=sys.stderr)

@@ -15,11 +15,12 @@ from .operators import dense, markup, rank, render, sparse
 from .sources import files, models
 
 MODES = ("hybrid", "semantic", "bm25")
-CHUNK = "chunk_id long, file_path string, start_line int, end_line int, content string, language string, heading_path array<string>"
+CHUNK = "chunk_id long, file_path string, start_line int, end_line int, content string, language string, heading_path array<string>, locator " + markup.LOCATOR
+IN_FILE = 20  # bits of a chunk's number within its file
 
 
 class Index:
-    """chunks: chunk_id, file_path, start_line, end_line, content, language, heading_path; vectors: chunk_id, embedding, language."""
+    """chunks: chunk_id, file_path, start_line, end_line, content, language, heading_path, locator; vectors: chunk_id, embedding, language."""
 
     def __init__(self, chunks: DataFrame, encoder=None):
         self.spark, self.chunks, self.encoder = chunks.sparkSession, chunks, encoder
@@ -47,10 +48,10 @@ class Index:
 
     @classmethod
     def from_files(cls, read: DataFrame, encoder=None) -> Index:
-        """An index of files (file_id, file_path, language, content)."""
+        """An index of files (file_id, file_path, language, content, and kind if that decides how they are cut); file_id orders them."""
         cut = markup.chunk(read)
-        order = Window.orderBy("file_path", "start_line", "end_line", "content")
-        numbered = cut.withColumn("chunk_id", F.row_number().over(order).cast("long")).drop("file_id")
+        order = Window.partitionBy("file_id").orderBy("start_line", "end_line", "content")  # chunks follow the files' order
+        numbered = cut.withColumn("chunk_id", F.shiftleft("file_id", IN_FILE) + F.row_number().over(order)).drop("file_id")
         made = numbered.cache()
         if not made.limit(1).count():
             raise ValueError("nothing to index")

@@ -23,12 +23,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores, ties by id; only what reaches the k-th is sorted."""
+    if len(ids) > k:
+        at = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[at], scores[at]
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, same: str | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): each query's k vectors of least 1 - cosine.
 
     vectors: chunk_id, embedding, and the column `same` if given; queries: query_id, embedding, `same`, and self_id if
     exclude_self. Queries are a bounded set; in blocks of `block` they are broadcast, every batch of vectors is
-    multiplied with them and keeps its k best for each, and a last ranking joins the batches' bests.
+    multiplied with them, each task keeps its k best for each, and a last ranking joins the tasks' bests.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -43,6 +52,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, sa
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, matrix, groups, selves = shared.value
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
             for batch in batches:
                 batch = batch[batch["embedding"].notna()]
                 if not len(batch):
@@ -51,15 +61,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, sa
                 stack = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
                 stack /= np.linalg.norm(stack, axis=1, keepdims=True) + 1e-8
                 cosine = matrix @ stack.T
-                for i, query in enumerate(ids):
+                for i in range(len(ids)):
                     fit = np.ones(len(own), bool)
                     if groups is not None:
                         fit &= (batch[same] == groups[i]).to_numpy()
                     if selves is not None:
                         fit &= own != selves[i]
-                    at = np.flatnonzero(fit)
-                    best = at[np.lexsort((own[at], -cosine[i][at]))[:k]]
-                    yield pd.DataFrame({"query_id": query, "chunk_id": own[best], "score": cosine[i][best]})
+                    best[i] = _best(np.concatenate((best[i][0], own[fit])), np.concatenate((best[i][1], cosine[i][fit])), k)
+            sizes = [len(x) for x, _ in best]
+            if sum(sizes):
+                yield pd.DataFrame({"query_id": np.repeat(ids, sizes), "chunk_id": np.concatenate([x for x, _ in best]), "score": np.concatenate([s for _, s in best])})
 
         hits = vectors.select(names).mapInPandas(run, "query_id long, chunk_id long, score double")
         found = hits if found is None else found.unionByName(hits)

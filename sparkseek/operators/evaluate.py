@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import grep_keywords as grep_words
+
 BUDGETS = (500, 1000, 2000, 4000, 8000, 16000, 32000)
 CAP = 32000
 
@@ -58,3 +60,59 @@ def grep(files: DataFrame, patterns: DataFrame, text: str = "content") -> DataFr
     rows = files.select("file_path", F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("_l"))
     hits = rows.join(patterns.select("query_id", F.lower("pattern").alias("_p")), F.contains(F.col("_l"), F.col("_p")))
     return hits.groupBy("query_id", "file_path").agg(F.count("*").alias("n"))
+
+
+def target_ranks(results: DataFrame, targets: DataFrame) -> DataFrame:
+    """(query_id, target_id, rank): the first result that covers each target; null if none does.
+
+    results: query_id, rank, file_path, start_line, end_line; targets: query_id, target_id, path, first_line, last_line
+    (null: the whole file).
+    """
+    same = (results["query_id"] == targets["query_id"]) & path_matches(F.replace(results["file_path"], F.lit("\\"), F.lit("/")), F.replace(targets["path"], F.lit("\\"), F.lit("/")))
+    covered = same & overlaps(results["start_line"], results["end_line"], targets["first_line"], targets["last_line"])
+    return targets.join(results, covered, "left").groupBy(targets["query_id"], "target_id").agg(F.min("rank").alias("rank"))
+
+
+def macro_means(scored: DataFrame, value: str = "ndcg") -> DataFrame:
+    """(level, name, mean): by repository, by language and overall as means of repositories' means, by category as means of repositories' means of it.
+
+    scored: repo, language, category and the value, a row a query.
+    """
+    by_repo = scored.groupBy("repo", "language").agg(F.avg(value).alias("m"))
+    by_category = scored.groupBy("repo", "category").agg(F.avg(value).alias("m"))
+    level = lambda df, kind, name: df.groupBy(name.alias("name")).agg(F.avg("m").alias("mean")).select(F.lit(kind).alias("level"), "name", "mean")
+    parts = [level(by_repo, "repo", F.col("repo")), level(by_repo, "language", F.col("language")), level(by_category, "category", F.col("category")), level(by_repo, "all", F.lit("all"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def mode_summary(scored: DataFrame) -> DataFrame:
+    """(mode, ndcg, p50) of results in several modes: mean NDCG and mean median latency; scored: mode, ndcg, p50_ms."""
+    return scored.groupBy("mode").agg(F.avg("ndcg").alias("ndcg"), F.avg("p50_ms").alias("p50"))
+
+
+def reductions(ours: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: how many fewer tokens until the first hit, over queries where both hit; both: query_id, tokens (null: no hit)."""
+    pairs = ours.select("query_id", F.col("tokens").alias("a")).join(other.select("query_id", F.col("tokens").alias("b")), "query_id").where("a is not null and b > 0")
+    share = F.col("a") / F.col("b")
+    return pairs.agg(
+        F.count("*").alias("n_paired"), F.percentile("a", 0.5).alias("median_ours"), F.percentile("b", 0.5).alias("median_other"),
+        (1 - F.percentile(share, 0.5)).alias("median_reduction"), (1 - F.avg(share)).alias("mean_reduction"), F.avg((F.col("a") < F.col("b")).cast("double")).alias("better_share"),
+    )
+
+
+def grep_keywords(files: DataFrame, queries: DataFrame, most: int = 500, text: str = "content") -> DataFrame:
+    """(query_id, file_path, n) of the keyword baseline: matching lines of each keyword, `most` of them in order of path, added up.
+
+    A query without keywords is searched for as a whole. queries: query_id, query; a bounded set.
+    """
+    words = grep_words(F.col("query"))
+    asked = queries.select("query_id", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lower("query")))).alias("pattern"))
+    rows = files.select("file_path", F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("_l"))
+    # matches are counted once for each word, whichever queries have it, and combine before they are shuffled
+    counted = rows.join(asked.select("pattern").distinct(), F.contains(F.col("_l"), F.col("pattern"))).groupBy("pattern", "file_path").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("pattern").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    taken = counted.withColumn("_b", F.coalesce(F.sum("n").over(so_far), F.lit(0))).where(F.col("_b") < most).select("pattern", "file_path", F.least(F.col("n"), most - F.col("_b")).alias("n"))
+    return asked.join(taken, "pattern").groupBy("query_id", "file_path").agg(F.sum("n").alias("n"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BUDGET, LINES, OVERLAP = 1500, 50, 5
 HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -146,26 +147,55 @@ def code(text: str, budget: int = BUDGET) -> list[Piece] | None:
     return [(line(x), line(max(x, y - 1)), ()) for x, y in merged]
 
 
-SCHEMA = "start_line int, end_line int, content string, heading_path array<string>"
+def pages(lines: list[str]) -> list[Piece]:
+    """Line windows within pages, a form feed beginning a new one; the path holds the page's number."""
+    out: list[Piece] = []
+    page, first = 1, 1
+    for n, line in enumerate([*lines, "\f"], 1):
+        if turns := line.count("\f"):
+            # a line that begins with the form feed belongs to the next page
+            last = n - 1 if line.lstrip(" \t").startswith("\f") else n
+            if first <= last and any(x.strip() for x in lines[first - 1 : last]):
+                out += [(a, b, (str(page),)) for a, b in windows(first, last)]
+            page, first = page + turns, last + 1
+    return out
+
+
+LOCATOR = "struct<kind:string,page_start:int,page_end:int,slide:int,sheet_name:string,cell_range:string,heading_path:array<string>>"
+SCHEMA = f"start_line int, end_line int, content string, heading_path array<string>, locator {LOCATOR}"
+
+
+def _locator(language: str | None, path: tuple[str, ...]) -> dict | None:
+    if not path:
+        return None
+    paged = language == "pdf"
+    page = int(path[0]) if paged else None
+    return {"kind": "pages" if paged else "heading", "page_start": page, "page_end": page, "slide": None, "sheet_name": None, "cell_range": None, "heading_path": None if paged else list(path)}
+
+
+def pieces_of(text: str, lines: list[str], kind: str | None) -> list[Piece]:
+    """By structure where there is one, else by line windows."""
+    found = pages(lines) if kind == "pdf" else markdown(text) if kind == "markdown" else code(text) if kind in ("csharp", "cpp") else None
+    return found if found is not None else [(a, b, ()) for a, b in windows(1, len(lines))] if lines else []
 
 
 def chunk(files: DataFrame) -> DataFrame:
-    """Chunks of files (file_id, file_path, language, content) by structure where the language has one, else by line windows."""
+    """Chunks of files (file_id, file_path, language, content; kind, if there, says how to cut instead of language)."""
     own = "file_id long, file_path string, language string"
+    names = ["file_id", "file_path", "language", "start_line", "end_line", "content", "heading_path", "locator"]
+    rows_of = files.withColumn("kind", F.coalesce("kind", "language") if "kind" in files.columns else F.col("language"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for f in batch.itertuples():
                 text = f.content or ""
-                pieces = markdown(text) if f.language == "markdown" else code(text) if f.language in ("csharp", "cpp") else None
                 lines = re.findall(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+", text)
-                if pieces is None:
-                    pieces = [(a, b, ()) for a, b in windows(1, len(lines))] if lines else []
-                for a, b, path in pieces:
+                for a, b, path in pieces_of(text, lines, f.kind):
                     part = "".join(lines[a - 1 : b])
+                    part = part.replace("\f", "") if f.kind == "pdf" else part
                     if part.strip():
-                        rows.append((f.file_id, f.file_path, f.language, a, b, part, list(path)))
-            yield pd.DataFrame(rows, columns=["file_id", "file_path", "language", "start_line", "end_line", "content", "heading_path"])
+                        rows.append((f.file_id, f.file_path, f.language, a, b, part, [] if f.kind == "pdf" else list(path), _locator(f.kind, path)))
+            yield pd.DataFrame(rows, columns=names)
 
-    return files.select("file_id", "file_path", "language", "content").mapInPandas(run, f"{own}, {SCHEMA}")
+    return rows_of.select("file_id", "file_path", "language", "kind", "content").mapInPandas(run, f"{own}, {SCHEMA}")

@@ -73,6 +73,11 @@ BACKENDS: dict[str, list[tuple[Callable[[], bool], Extractor]]] = {
 }
 
 
+def known(path: str) -> bool:
+    """Whether the file's extension has backends, there or not."""
+    return os.path.splitext(path)[1].lower() in BACKENDS
+
+
 def extractor(path: str) -> Extractor | None:
     """The first available backend for the file's extension, in any case; None if there is none."""
     return next((f for there, f in BACKENDS.get(os.path.splitext(path)[1].lower(), ()) if there()), None)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import CODE, DOCUMENTS, IGNORED
+from . import extract
 
 MOST_BYTES = 1_000_000
 
@@ -88,20 +89,29 @@ def listing(spark: SparkSession, root: str, **options) -> DataFrame:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """files with content, read leniently on the executors; files that can't be read are left out. Their folder must be shared."""
+    """files with content and kind, read on the executors; files that can't be read are left out. Their folder must be shared.
+
+    Text is read leniently. Documents with an extractor give its text, and kind says how it is cut; those whose backend
+    isn't there or fails are left out.
+    """
+
+    def content(path: str) -> tuple[str | None, str | None]:
+        try:
+            if extract.known(path):
+                backend = extract.extractor(path)
+                return backend(path) if backend else (None, None)
+            with open(path, "rb") as f:
+                return f.read().decode("utf-8-sig", "replace"), None
+        except (OSError, ValueError, subprocess.SubprocessError):
+            return None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
-            for path in batch["path"]:
-                try:
-                    with open(path, "rb") as f:
-                        texts.append(f.read().decode("utf-8-sig", "replace"))
-                except OSError:
-                    texts.append(None)
-            yield batch.assign(content=texts)
-
-    return files.mapInPandas(run, files.withColumn("content", F.lit("")).schema).where("content is not null")
+            found = [content(p) for p in batch["path"]]
+            yield batch.assign(content=[t for t, _ in found], kind=[k for _, k in found])
+
+    schema = files.withColumns({"content": F.lit(None).cast("string"), "kind": F.lit(None).cast("string")}).schema
+    return files.mapInPandas(run, schema).where("content is not null")
 
 
 @contextmanager

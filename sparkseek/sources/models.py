@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import os
 import re
 import unicodedata
+import urllib.request
 import zlib
 from collections.abc import Iterator
 
@@ -145,3 +147,30 @@ def load(folder: str | None = None) -> Encoder:
 
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "chunk_id long, embedding array<float>")
+
+
+FILES = ("tokenizer.json", "model.safetensors", "config.json")
+
+
+def download(base: str, folder: str) -> list[str]:
+    """Fetches a model's files from under the URL `base`; returns those fetched. A file of the announced size is kept as it is."""
+    os.makedirs(folder, exist_ok=True)
+    fetched = []
+    for name in FILES:
+        target = os.path.join(folder, name)
+        with urllib.request.urlopen(f"{base.rstrip('/')}/{name}", timeout=60) as source:
+            size = source.headers.get("Content-Length")
+            if size and os.path.isfile(target) and os.path.getsize(target) == int(size):
+                continue
+            part = f"{target}.part"
+            try:
+                with open(part, "wb") as f:
+                    while block := source.read(1 << 20):
+                        f.write(block)
+                os.replace(part, target)
+            except BaseException:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(part)
+                raise
+        fetched.append(name)
+    return fetched
