@@ -289,6 +289,23 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
+def _ablation(alpha: float) -> str:
+    halves = "0.5 * coalesce(1.0::DOUBLE / (60 + sm.rank), 0) + 0.5 * coalesce"
+    return ORACLES["hybrid_search"].replace(halves, halves.replace("0.5 * coalesce(1.0", f"{alpha}::DOUBLE * coalesce(1.0").replace("+ 0.5", f"+ {1 - alpha}::DOUBLE"))
+
+
+@register(_ablation(0.0))
+def ablation_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    semantic, lexical, asked, own = _fused(spark, sf_dir)
+    return rank.hybrid(semantic, lexical, asked.withColumn("alpha", F.lit(0.0)), own, K).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+@register(_ablation(1.0))
+def ablation_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    semantic, lexical, asked, own = _fused(spark, sf_dir)
+    return rank.hybrid(semantic, lexical, asked.withColumn("alpha", F.lit(1.0)), own, K).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
 # --- evaluation: a document is relevant to a benchmark passage if it holds its first 60 characters
 
 _RELEVANT = "r AS (SELECT item_id::BIGINT AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
@@ -340,6 +357,59 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"))
 
 
+_GREP_WORDS = f"list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(q, ''), '[a-zA-Z][a-zA-Z0-9]*'), lambda w: lower(w)), lambda w: length(w) >= 3 AND NOT list_contains({sorted({*text.STOPWORDS, *text.GREP_STOPWORDS})!r}, w)))"
+
+
+@register(f"SELECT item_id, len(w)::BIGINT AS n, md5(array_to_string(list_sort(w), ' ')) AS words FROM (SELECT item_id, {_GREP_WORDS} AS w FROM (SELECT item_id, text AS q FROM benchmark))")
+def keywords_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.sort_array(text.grep_keywords(F.col("text")))
+    return views.table(spark, sf_dir, "benchmark").select("item_id", F.size(k).cast("long").alias("n"), F.md5(F.array_join(k, " ")).alias("words"))
+
+
+@register(f"""WITH {_CHUNKS}, l AS (SELECT file_path, unnest(string_split(lower(content), chr(10))) AS l FROM c), q AS (SELECT item_id::BIGINT AS query_id, left(text, 20) AS q FROM benchmark),
+p AS (SELECT query_id, unnest(CASE WHEN len({_GREP_WORDS}) > 0 THEN {_GREP_WORDS} ELSE [lower(q)] END) AS pattern FROM q),
+m AS (SELECT pattern, file_path, count(*) AS n FROM l JOIN (SELECT DISTINCT pattern FROM p) ON contains(l, pattern) GROUP BY ALL),
+t AS (SELECT pattern, file_path, n, coalesce(sum(n) OVER (PARTITION BY pattern ORDER BY file_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM m)
+SELECT query_id, file_path, sum(least(n, 500 - b))::BIGINT AS n FROM p JOIN t USING (pattern) WHERE b < 500 GROUP BY ALL""")
+def grep_keyword_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = views.queries(spark, sf_dir).select("query_id", F.substring("query", 1, 20).alias("query"))
+    return evaluate.grep_keywords(views.chunks(spark, sf_dir), asked)
+
+
+@register(f"WITH {_BM25}, {_RELEVANT}, t AS (SELECT * FROM ({_TOP}) WHERE rank <= {K}) SELECT query_id, chunk_id AS target_id, rank::INTEGER AS rank FROM r LEFT JOIN t USING (query_id, chunk_id)")
+def target_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = views.chunks(spark, sf_dir)
+    found = sparse.search(sparse.tokens(own), views.queries(spark, sf_dir), K).join(own.select("chunk_id", "file_path"), "chunk_id").withColumns({"start_line": F.lit(1), "end_line": F.lit(1)})
+    none = F.lit(None).cast("int")
+    wanted = _relevant(spark, sf_dir).select("query_id", F.col("chunk_id").alias("target_id"), F.concat(F.lit("doc_"), F.col("chunk_id"), F.lit(".txt")).alias("path"), none.alias("first_line"), none.alias("last_line"))
+    return evaluate.target_ranks(found, wanted)
+
+
+_SCORED = "s AS (SELECT source AS repo, lang AS language, CASE WHEN n_chars < 500 THEN 'symbol' ELSE 'semantic' END AS category, (n_chars % 100) / 100.0::DOUBLE AS ndcg FROM documents)"
+
+
+@register(f"""WITH {_SCORED}, r AS (SELECT repo, language, avg(ndcg) AS m FROM s GROUP BY ALL), c AS (SELECT repo, category, avg(ndcg) AS m FROM s GROUP BY ALL)
+SELECT level, name, round(avg(m), 6) AS mean FROM (SELECT 'repo' AS level, repo AS name, m FROM r UNION ALL SELECT 'language', language, m FROM r UNION ALL SELECT 'category', category, m FROM c UNION ALL SELECT 'all', 'all', m FROM r) GROUP BY ALL""")
+def macro_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars")
+    scored = views.table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("lang").alias("language"), F.when(n < 500, "symbol").otherwise("semantic").alias("category"), ((n % 100) / 100.0).alias("ndcg"))
+    return evaluate.macro_means(scored).select("level", "name", r6("mean").alias("mean"))
+
+
+@register("SELECT event_type AS mode, round(avg(value), 6) AS ndcg, round(avg(value * 2), 6) AS p50 FROM events GROUP BY event_type")
+def mode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("mode"), F.col("value").alias("ndcg"), (F.col("value") * 2).alias("p50_ms"))
+    return evaluate.mode_summary(e).select("mode", r6("ndcg").alias("ndcg"), r6("p50").alias("p50"))
+
+
+@register("""WITH p AS (SELECT nullif(n_chars % 97, 0) AS a, n_chars % 101 AS b FROM documents), k AS (SELECT a, b, a / b AS s FROM p WHERE a IS NOT NULL AND b > 0)
+SELECT count(*)::BIGINT AS n_paired, median(a)::DOUBLE AS median_ours, median(b)::DOUBLE AS median_other, round(1 - median(s), 6) AS median_reduction, round(1 - avg(s), 6) AS mean_reduction, round(avg((a < b)::INTEGER), 6) AS better_share FROM k""")
+def token_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "n_chars")
+    ours, other = d.select("query_id", F.nullif(F.col("n_chars") % 97, F.lit(0)).alias("tokens")), d.select("query_id", (F.col("n_chars") % 101).alias("tokens"))
+    return evaluate.reductions(ours, other).select("n_paired", "median_ours", "median_other", *[r6(c).alias(c) for c in ("median_reduction", "mean_reduction", "better_share")])
+
+
 # --- index and formatting
 
 
