@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cached_property
 from struct import pack
 
 import numpy as np
@@ -29,101 +28,96 @@ from pyspark.sql import functions as F
 from ._common import slices
 
 NONE = 1 << 62
-KEEP = 300_000  # encoded matches in each of a worker's two generations
+POSITION = (1 << 40) - 1
+KEEP = 300_000  # encoded matches in each of a worker's two generations, give or take a step
+STEP = 1 << 14  # matches that are encoded between two looks at how many are kept
+
+
+class Kept(dict):
+    """Encoded matches; one that isn't there is taken from the older generation or encoded."""
+
+    def __init__(self, codec: Codec, older: dict[str, bytes]):
+        self.codec, self.older = codec, older
+
+    def __missing__(self, match: str) -> bytes:
+        found = self.older.get(match)
+        if found is None:
+            raw = match.encode()
+            rank = self.codec.ranks.get(raw)
+            found = pack("<I", rank) if rank is not None else pack(f"<{len(ids := self.codec.merges(raw))}I", *ids)
+        if len(match) <= 64:
+            self[match] = found
+        return found
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {i: t for t, i in ranks.items()}
-        self.bytes = [ranks[bytes([i])] for i in range(256)]
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    @cached_property
-    def pairs(self) -> dict[int, int]:
-        """The rank of each pair of tokens that are together a token."""
-        ranks, out = self.ranks, {}
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
-                    out[a << 32 | b] = rank
-        return out
+        self.forget()
 
     def merges(self, match: bytes) -> list[int]:
         """The ids of one match."""
-        n = len(match)
+        n, rank_of = len(match), self.ranks.get
         if n < 2:
-            return [self.bytes[c] for c in match]
-        pair = self.pairs.get
-        ids = [self.bytes[c] for c in match]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        width = 1 << (n - 2).bit_length() if n > 2 else 1
+            return [self.ranks[match[i : i + 1]] for i in range(n)]
+        # after[i]: where the part that begins at i ends, and the next one begins; before[i]: where the part before it begins
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        width = 1 << (n - 2).bit_length()
         tree = [NONE] * (2 * width)
         for i in range(n - 1):
-            rank = pair(ids[i] << 32 | ids[i + 1])
+            rank = rank_of(match[i : i + 2])
             if rank is not None:
                 tree[width + i] = rank << 40 | i
         for i in range(width - 1, 0, -1):
             a, b = tree[2 * i], tree[2 * i + 1]
             tree[i] = a if a < b else b
-        position = (1 << 40) - 1
-
-        def put(leaf: int, value: int) -> None:
-            at = width + leaf
-            tree[at] = value
-            while at > 1:
-                value = min(value, tree[at ^ 1])
-                at >>= 1
-                if tree[at] == value:
-                    return
-                tree[at] = value
-
         while (least := tree[1]) < NONE:
-            i = least & position
+            i = least & POSITION
             j = after[i]
-            ids[i] = least >> 40
-            k = after[j]
-            after[i] = k
-            after[j] = -1
+            k = after[i] = after[j]
+            changed = [width + i]
             if j < n - 1:
-                put(j, NONE)
+                tree[width + j] = NONE
+                changed.append(width + j)
+            rank = None
             if k < n:
                 before[k] = i
-                rank = pair(ids[i] << 32 | ids[k])
-                put(i, NONE if rank is None else rank << 40 | i)
-            else:
-                put(i, NONE)
+                rank = rank_of(match[i : after[k]])
+            tree[width + i] = NONE if rank is None else rank << 40 | i
             h = before[i]
             if h >= 0:
-                rank = pair(ids[h] << 32 | ids[i])
-                put(h, NONE if rank is None else rank << 40 | h)
+                rank = rank_of(match[h:k])
+                tree[width + h] = NONE if rank is None else rank << 40 | h
+                changed.append(width + h)
+            for at in changed:
+                while at > 1:
+                    a, b = tree[at], tree[at ^ 1]
+                    if b < a:
+                        a = b
+                    at >>= 1
+                    if tree[at] == a:
+                        break
+                    tree[at] = a
         out, i = [], 0
         while i < n:
-            out.append(ids[i])
+            out.append(self.ranks[match[i : after[i]]])
             i = after[i]
         return out
 
-    def _new(self, match: str) -> bytes:
-        found = self.older.get(match)
-        if found is None:
-            raw = match.encode()
-            rank = self.ranks.get(raw)
-            found = pack("<I", rank) if rank is not None else pack(f"<{len(ids := self.merges(raw))}I", *ids)
-        if len(match) <= 64:
-            if len(self.kept) >= KEEP:
-                self.kept, self.older = {}, self.kept
-            self.kept[match] = found
-        return found
-
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join([self.kept.get(m) or self._new(m) for m in self.split(text)])
+        matches, out = self.split(text), []
+        for at in range(0, len(matches), STEP):
+            if len(self.kept) >= KEEP:
+                self.kept.older = {}
+                self.kept = Kept(self, self.kept)
+            out.append(b"".join(map(self.kept.__getitem__, matches[at : at + STEP])))
+        return b"".join(out)
 
     def forget(self) -> None:
         """Drops the kept matches; a worker that waits for its next task holds none."""
-        self.kept, self.older = {}, {}
+        self.kept = Kept(self, {})
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
