@@ -7,9 +7,12 @@ repeated window go; windows are judged on the input.
 How shards are made so that equal windows meet, without streaming every document past every shard:
 
 1. Each window is assigned to its minimizer, the run of `gram` words with the least hash in it, the
-   leftmost of several. Neighbouring windows with one minimizer form a segment (about one for eight
-   words). Equal windows have equal minimizers.
-2. Minimizers are counted. Segments of minimizers that occur once are unique and go no further.
+   leftmost of several, so that no segment holds a window twice. Neighbouring windows with one minimizer form
+   a segment (about one for eight words; one a word where a word recurs). Equal windows have equal minimizers.
+2. Copies of segments within a task's slice of texts are found there, before any shuffle: all but the
+   first are repeated as a whole, and only the first goes on, so that one word repeated through a document, or a
+   passage many documents share, makes few rows.
+   Minimizers are counted. Segments of minimizers that occur once are unique and go no further.
    Segments with equal minimizer and equal contents (128 bits of hash together) are copies: all but
    the first are repeated as a whole.
 3. What is left are first copies of different segments that share a minimizer. Shards by minimizer hold
@@ -101,8 +104,20 @@ def segments(words: list[bytes], lengths: np.ndarray, window: int, gram: int) ->
     return of, first - floor[of], count, grams[best[head]], hashes.runs(first, first + count + window - 1)
 
 
+def copied(mh: np.ndarray, ch: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each segment has an equal one among these in a smaller document, or earlier in its own."""
+    order = np.lexsort((at, doc, ch, mh))
+    out = np.zeros(len(order), bool)
+    out[order[1:]] = (mh[order[1:]] == mh[order[:-1]]) & (ch[order[1:]] == ch[order[:-1]])
+    if len(order) > 1:  # rows of one document that is there twice, as identical rows, are no copies of each other
+        same = out[order[1:]] & (doc[order[1:]] == doc[order[:-1]]) & (at[order[1:]] == at[order[:-1]])
+        for i in np.flatnonzero(same) + 1:
+            out[order[i]] = out[order[i - 1]]
+    return out
+
+
 def _find(window: int, gram: int):
-    names = ["mh", "ch", "doc", "at", "n"]
+    names = ["mh", "ch", "doc", "at", "n", "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +126,7 @@ def _find(window: int, gram: int):
                 lengths = np.fromiter(map(len, each), np.int64, len(each))
                 of, at, count, mh, ch = segments([w for x in each for w in x], lengths, window, gram)
                 doc = part.column("doc").to_numpy(zero_copy_only=False)[of]
-                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(copied(mh, ch, doc, at))], names)
 
     return run
 
@@ -196,9 +211,10 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = 5000, s
     """(doc, at, n): n windows from word `at` on are repeated; docs has columns doc and text."""
     spark = docs.sparkSession
     texts = docs.select("doc", F.col("text").cast("string").alias("text"))
-    found = cut(texts.mapInArrow(_find(window, gram), "mh long, ch long, doc long, at int, n int"))
-    counted = cut(found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh"))
-    shared = cut(found.join(counted.hint("shuffle_hash"), "mh"))
+    found = cut(texts.mapInArrow(_find(window, gram), "mh long, ch long, doc long, at int, n int, again boolean"))
+    known = cut(found.where("again").select("doc", "at", "n"))
+    counted = cut(found.where("not again").groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh"))
+    shared = cut(found.where("not again").drop("again").join(counted.hint("shuffle_hash"), "mh"))
     drop(found)
     release(spark)
     place = F.struct("doc", "at")
@@ -215,7 +231,7 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = 5000, s
     windows = pieces.where("words is null").select("doc", "at", "wl", "wh")
     earliest = cut(windows.groupBy("wl", "wh").agg(F.min(place).alias("first")))
     heated = windows.join(earliest, ["wl", "wh"]).where(place > F.col("first")).select("doc", "at", F.lit(1).alias("n"))
-    return cut(copies.unionByName(indexed).unionByName(heated))
+    return cut(known.unionByName(copies).unionByName(indexed).unionByName(heated))
 
 
 def kept(words: list[bytes], runs: list[dict] | None, window: int) -> list[bytes]:

@@ -236,6 +236,19 @@ def test_substring(spark, unique, monkeypatch, hot):
     assert sorted(tuple(x) for x in substring.dedup(frame(spark, few, False), window=7).select("doc_id", "n_words", "n_removed", "kept").collect()) == sorted(brute_repeats(few, 7))
 
 
+@pytest.mark.parametrize("text", ["x " * 25, "x " * 400, "a b c " * 30, " ".join(f"w{i}" for i in range(30)) + " x" * 60, "a b c d e f g " * 9 + "x " * 22])
+def test_substring_of_words_that_recur_in_one_document_only(spark, text):
+    rows = [(1, text)]
+    assert [tuple(x) for x in substring.dedup(frame(spark, rows, False)).select("doc_id", "n_words", "n_removed", "kept").collect()] == brute_repeats(rows, 20)
+
+
+def test_copied_segments_of_a_slice():
+    mh, ch = np.array([5, 5, 5, 5, 7], np.uint64), np.array([1, 1, 1, 2, 1], np.uint64)
+    assert substring.copied(mh, ch, np.array([4, 3, 3, 1, 1]), np.array([0, 2, 1, 0, 0])).tolist() == [True, True, False, False, False]
+    assert substring.copied(mh[:3], ch[:3], np.array([3, 3, 4]), np.array([1, 1, 0])).tolist() == [False, False, True]
+    assert substring.copied(mh[:0], ch[:0], np.zeros(0, int), np.zeros(0, int)).tolist() == []
+
+
 def test_substring_with_repeated_rows(docs, empty):
     got = substring.dedup(docs).collect()
     assert len(got) == len(TEXTS) and "h" in got[0].asDict()
