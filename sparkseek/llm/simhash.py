@@ -22,7 +22,7 @@ clashing column names don't matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,27 +39,39 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 EVEN_BITS = 0x5555555555555555
 
 
-def simhash(text: bytes, shingle: int = 3, block: int = 1 << 16) -> int:
-    """The fingerprint of a text, in blocks of shingles so that memory stays bounded."""
+def hashed(text: bytes, shingle: int = 3, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, in blocks."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     ends = starts + size
     if len(words) > shingle:
-        starts, ends = starts[: 1 - shingle], ends[shingle - 1 :]
+        starts, ends = starts[: 1 - shingle or None], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    votes, digest, n = np.zeros(64, np.int64), xxhash.xxh64_intdigest, len(starts)
-    for at in range(0, n, block):
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(starts), block):
         pairs = zip(starts[at : at + block].tolist(), ends[at : at + block].tolist(), strict=True)
-        hashes = np.fromiter([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
+        yield np.fromiter([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes have."""
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: bytes, shingle: int = 3, block: int = 1 << 16) -> int:
+    """The fingerprint of a text, in blocks of shingles so that memory stays bounded."""
+    return majority(hashed(text, shingle, block))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp) of every row, fp as a signed 64-bit integer."""
 

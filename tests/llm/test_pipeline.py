@@ -1,12 +1,13 @@
 """The pipeline's stages against what they must keep."""
 
+import random
 import re
 
 import corpus_pipeline
 import duckdb
 import pytest
 
-from sparkseek.llm import quality, substring
+from sparkseek.llm import near_copies, quality, substring
 from sparkseek.llm._common import table
 
 DIR = "/root/testdata/sf0.001"
@@ -81,3 +82,56 @@ def test_awkward_rows(spark):
 def test_labels_of_held_out_rows_are_not_learned(spark):
     known = table(spark, DIR, "labels")
     assert 0 < quality.learnable(known).count() < known.count()
+
+
+def brute_groups(texts):
+    """The texts' numbers, in groups that similarity of 0.8 or more over five-word shingles connects."""
+    sets = []
+    for t in texts:
+        w = (t or "").translate({i: i + 32 for i in range(65, 91)}).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) * 5 >= 4 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    found = {}
+    for i, g in enumerate(group):
+        found.setdefault(g, set()).add(i)
+    return sorted(map(sorted, found.values()))
+
+
+def changed(r, words, n):
+    w = list(words)
+    for at in r.sample(range(len(w)), n):
+        w[at] = f"new{r.random()}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("sample", [4000, 5])
+def test_groups_of_near_copies(spark, monkeypatch, sample):
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    r = random.Random(4)
+    texts = [None, "", " ", "one", "One", "one two three four five", "one two three four five six", "a b c d", "x " * 30, "x " * 400]
+    for _ in range(12):
+        base = [f"w{r.randrange(300)}" for _ in range(r.randint(20, 300))]
+        texts += [" ".join(base)] + [changed(r, base, round(len(base) * r.choice([0.01, 0.02, 0.025, 0.03]))) for _ in range(7)]
+        texts += [" ".join(base[: round(len(base) * share)]) for share in (0.78, 0.8, 0.82, 0.9)]
+    line = "this line is in every text that is made of other words "
+    texts += [line * 2 + " ".join(f"v{r.randrange(300)}" for _ in range(40)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {}
+    for x in near_copies.groups(docs).collect():
+        found.setdefault(x["root"], set()).add(x["id"])
+    assert sorted(map(sorted, found.values())) == brute_groups(texts)
+    assert near_copies.groups(docs.limit(0)).count() == 0
+
+
+def test_near_copies_beyond_two_bits_go(spark):
+    r = random.Random(9)
+    texts = []
+    for _ in range(20):
+        base = [f"w{r.randrange(5000)}" for _ in range(120)]
+        texts += [" ".join(base), changed(r, base, 2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], table(spark, DIR, "documents").schema)
+    assert ids(corpus_pipeline.near_dedup(spark, docs, DIR)) == [g[0] for g in brute_groups(texts)] == list(range(0, 40, 2))
