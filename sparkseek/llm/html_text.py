@@ -8,8 +8,8 @@ whole body's C_b and LC_b, the composite density is
 
 (zero divisors count as one): characters per tag, less where text is in links. A node's density sum adds the
 densities of its children. The node with the largest sum is the core. The threshold is the least density
-on the path from the core up to the body: while a neighbour of the core reaches it, the core widens to their parent; an
-article or main element around the core is taken whole.
+on the path from the core up to the body: the core widens to the highest node on that path where a child beside the path
+reaches it, whatever lies between; an article or main element around the core is taken whole.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by
 their elements and by the words in their class, id and role, before densities are computed; so are lists that
@@ -189,11 +189,12 @@ class Page:
             if self.tags[i] in ("article", "main"):
                 return i
         least = min(each[i] for i in self._up(core))
-        while core:
-            parent = self.parents[core]
-            if not any(isinstance(x, int) and x != core and each[x] >= least > 0 for x in self.parts[parent]):
-                break
-            core = parent
+        node = core
+        while node:
+            parent = self.parents[node]
+            if any(isinstance(x, int) and x != node and each[x] >= least > 0 for x in self.parts[parent]):
+                core = parent
+            node = parent
         return core
 
     def _up(self, node: int) -> Iterator[int]:

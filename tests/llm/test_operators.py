@@ -390,6 +390,14 @@ def test_main_text():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_main_text_of_wrapped_sections():
+    some = [prose(i, 30) for i in range(25)]
+    links = "<div><ul>" + "<li><a href=x>some link here</a> more</li>" * 30 + "</ul></div>"
+    inner = lambda texts: "<section><div>" + "".join(f"<p>{t}</p>" for t in texts) + "</div></section>"
+    for page in (inner(some[:5]) + inner(some[5:]), inner(some[:20]) + inner(some[20:]), f"<div><div>{inner(some[:5])}</div></div><div>{inner(some[5:])}</div>"):
+        assert html_text.main_text(f'<div id="content">{page}</div>{links}') == "\n".join(some)
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None), (None, "u", "", "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
