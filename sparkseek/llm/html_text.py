@@ -12,8 +12,10 @@ on the path from the core up to the body: the core widens to the highest node on
 reaches it, whatever lies between; an article or main element around the core is taken whole.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by
-their elements and by the words in their class, id and role, before densities are computed; so are lists that
-are mostly links. A header inside the article leaves its headings.
+their elements and by the words in their class, id and role, before densities are computed; so are lists outside
+articles that are mostly links. A header inside the article leaves its headings. Within an article or main element,
+and in the core of a page without one once it is found, words drop only containers (no headings, paragraphs, inline
+elements or code) whose class, id or role says nothing else, or that are mostly links.
 
 Text: character references decoded; white space inside a block (line break elements too) becomes one space; blocks that
 aren't empty are joined by newlines. Null and empty pages, and pages without a body's text, give an empty text. Depth is not
@@ -45,24 +47,34 @@ STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 # Words in a class, id or role that name what isn't the article.
 NAMES = frozenset("ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets".split())
 
+# Within an article, elements that a name may drop as a whole, and words that say nothing beside a name.
+CONTAINERS = frozenset("details div dl fieldset figure ol section table ul".split())
+FILLERS = frozenset("area article bar block blog body bottom box buttons column container content entry group inner item items left links list main outer page panel post right section site slot top unit wrap wrapper".split())
+TITLES = frozenset("banner header masthead".split())  # names of what an article's own head may be
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?>[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>|<[!?/][^<>]*+>|<[a-zA-Z/!?][^<>]*+\Z""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
+    """1: to be dropped; 2 and 3: named as boilerplate, 3 by a whole name; else 0."""
     if tag in DROP or tag == "header" and not in_article:
-        return True
+        return 1
     if not attributes or tag in HOLDERS:
-        return False
+        return 0
+    kind = 0
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id", "role") and NAMES.intersection(_SPLIT.split(_CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+            return 1
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                parts = set(_SPLIT.split(_CAMEL.sub(" ", word).lower())) - {""}
+                if parts & NAMES:
+                    kind = 3 if kind == 3 or parts & NAMES - TITLES and parts <= NAMES | FILLERS else 2
+    return kind
 
 
 class Page:
@@ -70,8 +82,13 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.parts = ["body"], [-1], [[]]
-        self.dropped = [False]
+        self.kinds, self.dropped = [0], [False]
         self._parse(source)
+        self.within, self.code = [False], [False]
+        for i in range(1, len(self.tags)):
+            tag, p = self.tags[self.parents[i]], self.parents[i]
+            self.within.append(self.within[p] or tag in ("article", "main"))
+            self.code.append(self.code[p] or tag in ("pre", "code"))
 
     def _parse(self, source: str) -> None:
         stack, at, find = [0], 0, _TOKEN.search
@@ -125,7 +142,7 @@ class Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.parts.append([])
-        self.dropped.append(self.dropped[parent] or _unwanted(tag, attributes, in_article))
+        self.kinds.append(_kind(tag, attributes, in_article))
         self.parts[parent].append(node)
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
@@ -159,14 +176,34 @@ class Page:
                 lt[p] += lt[i] + (self.tags[i] == "a")
         return c, t, lc, lt
 
+    def _settle(self, links: list[bool]) -> None:
+        """What is dropped: what its kind says, and link lists; within an article, of what is named only containers that are boilerplate as a whole."""
+        n = len(self.tags)
+        self.dropped = [False] * n
+        for i in range(1, n):
+            self.dropped[i] = self.dropped[self.parents[i]] or self.kinds[i] == 1 or links[i]
+        if any(k > 1 for k in self.kinds):
+            c, _, lc, _ = self.measures()
+            for i in range(1, n):
+                whole = not self.within[i] or self.tags[i] in CONTAINERS and not self.code[i] and (self.kinds[i] == 3 or lc[i] > 0.5 * c[i])
+                self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or self.kinds[i] > 1 and whole
+
     def core(self) -> int:
         """The node that holds the main text."""
+        n = len(self.tags)
+        self._settle([False] * n)
         c, t, lc, lt = self.measures()
-        for i in range(1, len(self.tags)):  # lists of links are menus, whatever they are called
-            if self.tags[i] in ("ul", "ol", "table") and lt[i] >= 3 and lc[i] > 0.8 * c[i]:
-                self.dropped[i] = True
-            elif self.dropped[self.parents[i]]:
-                self.dropped[i] = True
+        # outside an article, lists of links are menus, whatever they are called
+        links = [not self.within[i] and self.tags[i] in ("ul", "ol", "table") and lt[i] >= 3 and lc[i] > 0.8 * c[i] for i in range(n)]
+        self._settle(links)
+        core = self._densest()
+        if core and self.tags[core] not in ("article", "main"):  # without an article, the core is one
+            for i in range(1, n):
+                self.within[i] = self.within[i] or self.parents[i] == core or self.parents[i] > 0 and self.within[self.parents[i]]
+            self._settle(links)
+        return core
+
+    def _densest(self) -> int:
         c, t, lc, lt = self.measures()
         base = lc[0] / max(1, c[0])
 

@@ -398,6 +398,22 @@ def test_main_text_of_wrapped_sections():
         assert html_text.main_text(f'<div id="content">{page}</div>{links}') == "\n".join(some)
 
 
+@pytest.mark.parametrize("holder", ["article", "main", 'div id="story"'])
+def test_named_parts_of_the_article_stay(holder):
+    some = [prose(i, 40) for i in range(9)]
+    kept = f"""<h2 id="related-work">Related work</h2><p>{some[0]}</p><h2 class="section-header">Prices</h2><p class="share-price">{some[1]}</p>
+<pre><code>x = 1 <span class="hljs-comment">note</span></code></pre><section id="related-work-2"><p>{some[2]}</p></section>""" + "".join(f"<p>{t}</p>" for t in some[3:])
+    gone = """<div class="share-buttons">Share it</div><section id="comments"><p>I like it</p></section><div class="related-stories"><a href=x>One more</a></div>"""
+    text = html_text.main_text(f'<body><div class="menu-top">Menu</div><{holder}>{kept}{gone}</{holder.split()[0]}><p class="copyright">Us</p></body>')
+    assert text.split("\n") == ["Related work", some[0], "Prices", some[1], "x = 1 note", *some[2:]]
+
+
+def test_references_of_the_article_stay():
+    references = "<ol>" + "".join(f"<li><a href=x>Reference number {i}</a></li>" for i in range(5)) + "</ol>"
+    text = html_text.main_text(f"<ul>{references}</ul><article><p>{prose(1, 40)}</p>{references}<ul class=related>{references}</ul></article>")
+    assert text.split("\n") == [prose(1, 40), *[f"Reference number {i}" for i in range(5)]]
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None), (None, "u", "", "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
