@@ -68,5 +68,5 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The documents as Parquet, a folder for each shard."""
-    where = shards(docs, limit, id_col, text_col).select(id_col, "shard").distinct()
-    docs.join(where, id_col).repartition("shard").write.partitionBy("shard").parquet(path)
+    where = shards(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), "shard").distinct()
+    docs.join(where, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)

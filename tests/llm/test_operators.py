@@ -204,6 +204,13 @@ def test_sharding(docs, limit):
     assert not any(b.startswith(a) for a in names for b in names if a != b)
 
 
+def test_written_shards_hold_every_row(spark, tmp_path):
+    docs = frame(spark, TEXTS, False)
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 2000)
+    got = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert rows(got.select("doc_id", "text")) == rows(docs)
+
+
 def test_no_shards(empty):
     assert sharding.shards(empty, 10).count() == 0
 
