@@ -135,3 +135,11 @@ def test_near_copies_beyond_two_bits_go(spark):
         texts += [" ".join(base), changed(r, base, 2)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], table(spark, DIR, "documents").schema)
     assert ids(corpus_pipeline.near_dedup(spark, docs, DIR)) == [g[0] for g in brute_groups(texts)] == list(range(0, 40, 2))
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = ("a1 a2 a3 a4 a5 a6", "b1 b2 b3 b4 b5 b6", "c1 c2 c3 c4 c5 c6")
+    rows = [(1, a), (1, b), (1, b), (2, b), (None, b), (None, c), (None, c), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], table(spark, DIR, "documents").schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (1, b), (None, c), (3, "")], key=repr)
