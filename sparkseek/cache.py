@@ -27,8 +27,9 @@ class Cache:
                 future, mine = Future(), True
                 self.kept[key] = future
             self.kept.move_to_end(key)
-            while len(self.kept) > self.most:
-                self.kept.popitem(last=False)
+            gone = [self.kept.popitem(last=False)[1] for _ in range(len(self.kept) - self.most)]
+        for old in gone:
+            old.add_done_callback(self._close)
         if mine:
             try:
                 future.set_result(self.build(source, ref))
@@ -37,6 +38,12 @@ class Cache:
                 future.set_exception(e)
         return future.result()
 
+    @staticmethod
+    def _close(future: Future) -> None:
+        """Lets an index that is no longer kept remove its files."""
+        if not future.exception() and hasattr(future.result(), "close"):
+            future.result().close()
+
     def invalidate(self, source: str, ref: str | None = None) -> None:
         with self.lock:
             self.kept.pop(self.key(source, ref), None)

@@ -15,8 +15,11 @@ GREP_STOPWORDS = """but its can not no nor so yet both either neither than then
 will would could should may might been being had did will
 they all any each few more most other some such only own same too very just
 about after also before between during into through under up down over""".split()
-DEFINES = "class module defmodule def interface struct enum trait type func function object abstract|class data|class fn fun package namespace protocol record typedef".split()
-SQL_DEFINES = "CREATE|TABLE CREATE|VIEW CREATE|PROCEDURE CREATE|FUNCTION".split()
+DEFINES = (
+    "class", "module", "defmodule", "def", "interface", "struct", "enum", "trait", "type", "func", "function", "object",
+    "abstract class", "data class", "fn", "fun", "package", "namespace", "protocol", "record", "typedef",
+)
+SQL_DEFINES = ("CREATE TABLE", "CREATE VIEW", "CREATE PROCEDURE", "CREATE FUNCTION")
 GIT_URL = r"^(https?://|ssh://|git://|git\+ssh://|file://)|^[\w.-]+@[\w.-]+:(?!/)"
 UNSAFE_URL = r"^(ssh://|file://|git\+ssh://)|^[\w.-]+@[\w.-]+:(?!/)"
 
@@ -96,8 +99,7 @@ def definition(name: Column) -> tuple[Column, Column]:
     """Patterns of a definition of the name: general, and SQL's (any case)."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     end = F.concat(F.lit(r")\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*"), quoted, F.lit(r"(?:\s|[<({:\[;]|$)"))
-    body = lambda words: "|".join(w.replace("|", " ") for w in words)
-    return F.concat(F.lit(r"(?md)(?:^|(?<=\s))(?:" + body(DEFINES)), end), F.concat(F.lit(r"(?mdi)(?:^|(?<=\s))(?:" + body(SQL_DEFINES)), end)
+    return F.concat(F.lit(r"(?md)(?:^|(?<=\s))(?:" + "|".join(DEFINES)), end), F.concat(F.lit(r"(?mdi)(?:^|(?<=\s))(?:" + "|".join(SQL_DEFINES)), end)
 
 
 def defines(content: Column, name: Column) -> Column:

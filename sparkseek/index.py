@@ -1,8 +1,9 @@
-"""An index over a source tree or a table, as four Parquet-able frames, and searches over it."""
+"""An index over a source tree or a table: chunks, postings and vectors as Parquet, and searches over it."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from .functions import files as kinds
 from .functions import text
 from .operators import chunks as chunking
 from .operators import dense, markup, rank, render, sparse
+from .plans import store
 from .sources import files, models
 
 MODES = ("hybrid", "semantic", "bm25")
@@ -20,13 +22,30 @@ IN_FILE = 20  # bits of a chunk's number within its file
 
 
 class Index:
-    """chunks: chunk_id, file_path, start_line, end_line, content, language, heading_path, locator; vectors: chunk_id, embedding, language."""
+    """chunks: chunk_id, file_path, start_line, end_line, content, language, heading_path, locator.
 
-    def __init__(self, chunks: DataFrame, encoder=None):
+    postings (term, chunk_id, tf, dl, df, weight) and vectors (chunk_id, embedding, language, file_path) are written to the index's
+    folder by the first search that needs them; searches read them from there. The folder is in the shared one until the index is saved.
+    """
+
+    def __init__(self, chunks: DataFrame, encoder=None, folder: str | None = None):
         self.spark, self.chunks, self.encoder = chunks.sparkSession, chunks, encoder
-        self.tokens = sparse.tokens(chunks)
-        made = models.embed(chunks, encoder) if encoder is not None else models.empty(self.spark)
-        self.vectors = made.join(chunks.select("chunk_id", "language", "file_path"), "chunk_id")
+        self.folder = folder or store.scratch(self.spark, "index")
+        self.made: dict[str, DataFrame] = {}
+
+    def _part(self, name: str, write: Callable[[str], DataFrame]) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = write(f"{self.folder}/{name}")
+        return self.made[name]
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._part("postings", lambda path: sparse.build(sparse.tokens(self.chunks), self.chunks.count(), path))
+
+    @property
+    def vectors(self) -> DataFrame:
+        embedded = models.embed(self.chunks, self.encoder) if self.encoder is not None else models.empty(self.spark)
+        return self._part("vectors", lambda path: store.written(embedded.join(self.chunks.select("chunk_id", "language", "file_path"), "chunk_id"), path))
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, encoder=None, extensions: list[str] | None = None, ignore: tuple[str, ...] = (), include_text_files: bool = False, newest: datetime | None = None) -> Index:
@@ -40,11 +59,11 @@ class Index:
 
     @classmethod
     def from_git(cls, spark: SparkSession, url: str, ref: str | None = None, **options) -> Index:
-        with files.cloned(url, ref) as folder:
-            made = cls.from_path(spark, folder, **options)
-            made.chunks = made.chunks.cache()
-            made.chunks.count()  # before the clone goes
-            return cls(made.chunks, made.encoder)
+        shared = store.shared_dir(spark)
+        if "://" in shared and not shared.startswith("file://"):
+            raise RuntimeError(f"git clones into folders of the file system only, not into {shared}")
+        with files.cloned(url, ref, within=shared.removeprefix("file://")) as folder:
+            return cls.from_path(spark, folder, **options)
 
     @classmethod
     def from_files(cls, read: DataFrame, encoder=None) -> Index:
@@ -52,19 +71,26 @@ class Index:
         cut = markup.chunk(read)
         order = Window.partitionBy("file_id").orderBy("start_line", "end_line", "content")  # chunks follow the files' order
         numbered = cut.withColumn("chunk_id", F.shiftleft("file_id", IN_FILE) + F.row_number().over(order)).drop("file_id")
-        made = numbered.cache()
+        folder = store.scratch(cut.sparkSession, "index")
+        made = store.written(numbered, f"{folder}/chunks")  # the files may go, and executors may be lost, without harm to the index
         if not made.limit(1).count():
+            store.remove(cut.sparkSession, folder)
             raise ValueError("nothing to index")
-        return cls(made, encoder)
+        return cls(made, encoder, folder)
 
     def save(self, path: str) -> None:
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        for name in ("chunks", "postings", "vectors"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def close(self) -> None:
+        """Removes the index's folder, unless it was saved there and opened."""
+        if "opened" not in self.made:
+            store.remove(self.spark, self.folder)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, encoder=None) -> Index:
-        out = cls(spark.read.parquet(f"{path}/chunks"))
-        out.encoder, out.vectors = encoder, spark.read.parquet(f"{path}/vectors")
+        out = cls(spark.read.parquet(f"{path}/chunks"), encoder, path)
+        out.made = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "vectors")} | {"opened": out.chunks}
         return out
 
     def stats(self) -> DataFrame:
@@ -89,7 +115,7 @@ class Index:
         fetch = k if mode != "hybrid" else 5 * k
         found = lexical = semantic = None
         if mode != "semantic":
-            found = lexical = sparse.search(self.tokens, asked, fetch, allowed)
+            found = lexical = sparse.search(self.postings, asked, fetch, allowed)
         if mode != "bm25" and k >= 1:
             vectors = self.vectors if allowed is None else self.vectors.join(allowed, "chunk_id", "left_semi")
             points = models.embed(asked.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("content")), self.encoder).withColumnRenamed("chunk_id", "query_id") if self.encoder else models.empty(self.spark).withColumnRenamed("chunk_id", "query_id")
@@ -111,7 +137,13 @@ class Index:
 
     def find_related(self, chunk_id: int, k: int = 5) -> DataFrame:
         """The nearest chunks of the same language, by the stored vectors."""
-        own = self.vectors.where(F.col("chunk_id") == chunk_id).select(F.lit(0).cast("long").alias("query_id"), F.col("chunk_id").alias("self_id"), "embedding", "language")
+        one = self.spark.createDataFrame([(0, chunk_id)], "query_id long, chunk_id long")
+        return self.find_related_many(one, k)
+
+    def find_related_many(self, sources: DataFrame, k: int = 5) -> DataFrame:
+        """find_related for each row of sources (query_id, chunk_id) in one search, with its query_id."""
+        ids = sources.select("query_id", F.col("chunk_id").alias("self_id"))
+        own = ids.join(self.vectors.select(F.col("chunk_id").alias("self_id"), "embedding", "language"), "self_id")
         hits = dense.related(self.vectors, own, k, same="language")
         return hits.join(self.chunks, "chunk_id").withColumn("source", F.lit("semantic"))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grep_keywords as grep_words
 
+MOST_MATCHES = 500
 BUDGETS = (500, 1000, 2000, 4000, 8000, 16000, 32000)
 CAP = 32000
 
@@ -52,14 +58,52 @@ def tokens_to_first_hit(points: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.where("n_targets > 0").join(hit, "query_id", "left").select("query_id", F.coalesce("t", F.lit(CAP)).cast("long").alias("tokens"))
 
 
-def grep(files: DataFrame, patterns: DataFrame, text: str = "content") -> DataFrame:
-    """(query_id, file_path, n) of lines that contain any form of the pattern in any case; patterns: query_id, pattern (one row a keyword).
+def matching_lines(files: DataFrame, patterns: DataFrame, text: str = "content", block: int = 50_000) -> DataFrame:
+    """(pattern, file_path, n) of the lines that contain each pattern (column pattern, lower-case) anywhere, in any case.
 
-    The patterns are a bounded query set; lines are counted per file without being shuffled.
+    Patterns are a query set; in blocks, one automaton holds them all, and every text runs through it once where it is read.
     """
-    rows = files.select("file_path", F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("_l"))
-    hits = rows.join(patterns.select("query_id", F.lower("pattern").alias("_p")), F.contains(F.col("_l"), F.col("_p")))
-    return hits.groupBy("query_id", "file_path").agg(F.count("*").alias("n"))
+    spark = files.sparkSession
+    own = files.select("file_path", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    rows, found = patterns.select("pattern").distinct().toLocalIterator(), None
+    while part := [r["pattern"] for _, r in zip(range(block), rows)]:  # noqa: B905
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            machine, everywhere = ahocorasick.Automaton(), ""
+            for p in filter(None, shared.value):
+                machine.add_word(p, p)
+            machine.make_automaton()
+            search = machine.iter if len(machine) else lambda line: ()
+            for batch in batches:
+                out: list[tuple[str, str, int]] = []
+                for path, content in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    lines = content.split("\n")
+                    count = Counter(p for line in lines for p in {p for _, p in search(line)})
+                    if everywhere in shared.value:
+                        count[everywhere] = len(lines)
+                    out += [(p, path, n) for p, n in count.items()]
+                columns = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["pattern", "file_path", "n"])
+
+        hits = own.mapInArrow(run, "pattern string, file_path string, n long")
+        found = hits if found is None else found.unionByName(hits)
+    return found if found is not None else spark.createDataFrame([], "pattern string, file_path string, n long")
+
+
+def _first(matches: DataFrame, most: int) -> DataFrame:
+    """The first `most` matching lines of each pattern in order of path; every file has one at least, so `most` files hold them."""
+    files = matches.groupBy("pattern", "file_path").agg(F.sum("n").alias("n"))
+    path = Window.partitionBy("pattern").orderBy("file_path")
+    few = files.withColumn("_r", F.row_number().over(path)).where(F.col("_r") <= most)
+    before = F.coalesce(F.sum("n").over(path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return few.withColumn("_b", before).where(F.col("_b") < most).select("pattern", "file_path", F.least(F.col("n"), most - F.col("_b")).alias("n"))
+
+
+def grep(files: DataFrame, patterns: DataFrame, most: int = MOST_MATCHES, text: str = "content") -> DataFrame:
+    """(query_id, file_path, n) of lines that contain the whole pattern in any case, `most` of them in order of path; patterns: query_id, pattern."""
+    asked = patterns.select("query_id", F.lower("pattern").alias("pattern")).where("pattern is not null")
+    return asked.join(_first(matching_lines(files, asked, text), most), "pattern").groupBy("query_id", "file_path").agg(F.sum("n").alias("n"))
 
 
 def target_ranks(results: DataFrame, targets: DataFrame) -> DataFrame:
@@ -103,16 +147,11 @@ def reductions(ours: DataFrame, other: DataFrame) -> DataFrame:
     )
 
 
-def grep_keywords(files: DataFrame, queries: DataFrame, most: int = 500, text: str = "content") -> DataFrame:
+def grep_keywords(files: DataFrame, queries: DataFrame, most: int = MOST_MATCHES, text: str = "content") -> DataFrame:
     """(query_id, file_path, n) of the keyword baseline: matching lines of each keyword, `most` of them in order of path, added up.
 
     A query without keywords is searched for as a whole. queries: query_id, query; a bounded set.
     """
     words = grep_words(F.col("query"))
-    asked = queries.select("query_id", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lower("query")))).alias("pattern"))
-    rows = files.select("file_path", F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("_l"))
-    # matches are counted once for each word, whichever queries have it, and combine before they are shuffled
-    counted = rows.join(asked.select("pattern").distinct(), F.contains(F.col("_l"), F.col("pattern"))).groupBy("pattern", "file_path").agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy("pattern").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
-    taken = counted.withColumn("_b", F.coalesce(F.sum("n").over(so_far), F.lit(0))).where(F.col("_b") < most).select("pattern", "file_path", F.least(F.col("n"), most - F.col("_b")).alias("n"))
-    return asked.join(taken, "pattern").groupBy("query_id", "file_path").agg(F.sum("n").alias("n"))
+    asked = queries.where("query is not null").select("query_id", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lower("query")))).alias("pattern"))
+    return asked.join(_first(matching_lines(files, asked, text), most), "pattern").groupBy("query_id", "file_path").agg(F.sum("n").alias("n"))

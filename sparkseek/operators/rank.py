@@ -1,7 +1,8 @@
 """Fusion and re-ranking of candidates as window expressions.
 
 Candidates are rows of query_id, chunk_id, file_path, score and ord, the order in which they were found (semantic hits
-by rank, then further lexical hits by rank, then chunks that a symbol pulled in), which breaks ties.
+by rank, then further lexical hits by rank, then chunks that a symbol pulled in), which breaks ties. Each step reads its
+candidates once, so that what found them runs once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from ..functions import files, text
 
 RRF, COHERENCE, DEFINITION, EMBEDDED, STEM, RATIO, DECAY = 60, 0.2, 3.0, 0.5, 1.0, 0.10, 0.5
 OWN_FILE = 1.5
+LEAST_STEM = 4  # characters of a stem that an embedded symbol may begin with
 
 
 def rrf(hits: DataFrame) -> DataFrame:
@@ -28,10 +30,12 @@ def order(first: int, by: Column) -> Column:
 
 def fuse(semantic: DataFrame, lexical: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score, ord) of both rankings' hits; queries has query_id and alpha, the semantic weight."""
-    s = rrf(semantic).select("query_id", "chunk_id", F.col("rank").alias("sr"), F.col("rrf").alias("s"))
-    b = rrf(lexical).select("query_id", "chunk_id", F.col("rank").alias("br"), F.col("rrf").alias("b"))
-    both = s.join(b, ["query_id", "chunk_id"], "full_outer").join(queries.select("query_id", "alpha"), "query_id")
-    score = F.col("alpha") * F.coalesce("s", F.lit(0.0)) + (1 - F.col("alpha")) * F.coalesce("b", F.lit(0.0))
+    none = F.lit(None).cast("int")
+    s = rrf(semantic).select("query_id", "chunk_id", F.col("rank").alias("sr"), none.alias("br"))
+    b = rrf(lexical).select("query_id", "chunk_id", none.alias("sr"), F.col("rank").alias("br"))
+    both = s.unionByName(b).groupBy("query_id", "chunk_id").agg(F.max("sr").alias("sr"), F.max("br").alias("br")).join(queries.select("query_id", "alpha"), "query_id")
+    part = lambda rank: F.coalesce(1.0 / (RRF + F.col(rank)), F.lit(0.0))
+    score = F.col("alpha") * part("sr") + (1 - F.col("alpha")) * part("br")
     return both.select("query_id", "chunk_id", score.alias("score"), F.when(F.col("sr").isNotNull(), order(0, F.col("sr"))).otherwise(order(1, F.col("br"))).alias("ord"))
 
 
@@ -45,58 +49,53 @@ def coherence(candidates: DataFrame) -> DataFrame:
     return scaled.withColumn("score", F.col("score") + gain).drop("_f", "_n", "_m", "_x")
 
 
-def _best(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumn("_m", F.max("score").over(Window.partitionBy("query_id")))
-
-
-def stem_boost(candidates: DataFrame, queries: DataFrame) -> DataFrame:
-    """For queries that aren't symbols: a share of the best score by the share of keywords that the path has."""
-    words = queries.select("query_id", text.keywords(F.col("query")).alias("_k"), text.is_symbol(F.col("query")).alias("_s"))
-    rows = _best(candidates).join(words, "query_id")
-    ratio = text.keyword_matches(F.col("_k"), text.path_parts(F.col("file_path"))) / F.size("_k")
-    gain = F.when(~F.col("_s") & (F.size("_k") > 0) & (ratio >= RATIO), F.col("_m") * STEM * ratio).otherwise(0.0)
-    return rows.withColumn("score", F.col("score") + gain).drop("_m", "_k", "_s")
-
-
-def _tier(names: Column, content: Column, path: Column, unit: Column) -> Column:
-    stem = F.lower(text.stem(path))
-    at_home = F.exists(names, lambda n: text.stem_matches(stem, F.lower(n)))
-    return F.when(F.exists(names, lambda n: text.defines(content, n)), unit * F.when(at_home, OWN_FILE).otherwise(1.0)).otherwise(0.0)
-
-
-def symbols(queries: DataFrame) -> DataFrame:
-    """(query_id, names, unit, symbol): the names whose definition counts, and how much."""
-    q = F.col("query")
+def asked(queries: DataFrame) -> DataFrame:
+    """(query_id, symbol, words, names, unit, leaf): keywords, and the names whose definition counts, and how much."""
+    q, symbol = F.col("query"), text.is_symbol(F.col("query"))
     full = F.array_distinct(F.array(text.symbol_leaf(q), text.trimmed(q)))
-    inner = text.embedded_symbols(q)
-    symbol = text.is_symbol(q)
-    return queries.select("query_id", F.when(symbol, full).otherwise(inner).alias("names"), F.when(symbol, DEFINITION).otherwise(DEFINITION * EMBEDDED).alias("unit"), symbol.alias("symbol"), F.lower(text.symbol_leaf(q)).alias("leaf")).where(F.size("names") > 0)
+    return queries.select(
+        "query_id", symbol.alias("symbol"), F.when(symbol, F.array().cast("array<string>")).otherwise(text.keywords(q)).alias("words"),
+        F.when(symbol, full).otherwise(text.embedded_symbols(q)).alias("names"), F.when(symbol, DEFINITION).otherwise(DEFINITION * EMBEDDED).alias("unit"), F.lower(text.symbol_leaf(q)).alias("leaf"),
+    )
 
 
-def definition_boost(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidates that define a symbol of the query gain; chunks that define one in a file of its name come in.
+def named(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, file_path) of chunks in files whose stem is a symbol of the query; queries as given by asked.
 
-    The file's stem is found by an equi-join on the few forms that match, before any pattern is tried.
+    Stems are found by an equi-join on the few forms that match, before any content is looked at.
     """
-    asked = symbols(queries)
-    best = candidates.groupBy("query_id").agg(F.max("score").alias("_m"))
-    content = chunks.select("chunk_id", "content")
-    rows = candidates.join(asked, "query_id", "left").join(best, "query_id").join(content, "chunk_id")
-    gain = F.coalesce(F.when(F.col("names").isNotNull(), _tier(F.col("names"), F.col("content"), F.col("file_path"), F.col("unit") * F.col("_m"))), F.lit(0.0))
-    boosted = rows.withColumn("score", F.col("score") + gain).select(candidates.columns)
     stem = F.lower(text.stem(F.col("file_path")))
     plain = F.replace(stem, F.lit("_"), F.lit(""))
     singular = lambda s: F.regexp_replace(s, "s+$", "")
-    forms = F.array_distinct(F.array(stem, plain, singular(stem), singular(plain)))
-    named = chunks.select("chunk_id", "file_path", F.array(stem, plain).alias("_two"), F.explode(forms).alias("key"))
+    forms = chunks.select("chunk_id", "file_path", F.array(stem, plain).alias("_two"), F.explode(F.array_distinct(F.array(stem, plain, singular(stem), singular(plain)))).alias("key"))
     low = F.transform("names", lambda n: F.lower(n))
-    # an embedded symbol also matches stems that begin it, of four characters or more
-    starts = F.flatten(F.transform(low, lambda n: F.concat(F.array(n), F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length(n))), lambda i: F.substring(n, F.lit(1), i)))))
-    keys = asked.select("query_id", "names", "unit", "symbol", F.explode(F.array_distinct(F.when(F.col("symbol"), F.array("leaf")).otherwise(starts))).alias("key"))
-    pulled = named.join(keys, "key").where(F.col("symbol") | F.array_contains(F.col("_two"), F.col("key"))).select("query_id", "chunk_id", "file_path", "names", "unit").dropDuplicates(["query_id", "chunk_id"])
-    fresh = pulled.join(candidates.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(best, "query_id").join(content, "chunk_id")
-    scored = fresh.withColumn("score", _tier(F.col("names"), F.col("content"), F.col("file_path"), F.col("unit") * F.col("_m"))).where("score > 0").withColumn("ord", order(2, F.col("chunk_id")))
-    return boosted.unionByName(scored.select(candidates.columns))
+    # an embedded symbol also matches stems that begin it
+    starts = F.flatten(F.transform(low, lambda n: F.concat(F.array(n), F.transform(F.sequence(F.lit(LEAST_STEM), F.greatest(F.lit(LEAST_STEM), F.length(n))), lambda i: F.substring(n, F.lit(1), i)))))
+    keys = queries.where(F.size("names") > 0).select("query_id", "symbol", F.explode(F.array_distinct(F.when(F.col("symbol"), F.array("leaf")).otherwise(starts))).alias("key"))
+    return forms.join(keys, "key").where(F.col("symbol") | F.array_contains(F.col("_two"), F.col("key"))).select("query_id", "chunk_id", "file_path").distinct()
+
+
+def boost(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """candidates with the gains of their queries; chunks that define a symbol of the query in a file of its name come in.
+
+    Every gain is a share of the query's best score before any of them. Symbols: what defines them gains, more so in a file of
+    their name. Other queries: the share of their keywords that a path has, and symbols within the query.
+    """
+    q = asked(queries)
+    pulled = named(q, chunks).select("query_id", "chunk_id", "file_path", F.lit(None).cast("double").alias("score"), order(2, F.col("chunk_id")).alias("ord"))
+    both = candidates.select("query_id", "chunk_id", "file_path", "score", "ord").unionByName(pulled)
+    query, one = Window.partitionBy("query_id"), Window.partitionBy("query_id", "chunk_id")
+    rows = both.select("*", F.max("score").over(query).alias("_m"), F.max("score").over(one).isNotNull().alias("_c")).where("_m is not null and (score is not null or not _c)")
+    rows = rows.join(q, "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
+
+    stem = F.lower(text.stem(F.col("file_path")))
+    at_home = F.exists("names", lambda n: text.stem_matches(stem, F.lower(n)))
+    defined = F.exists("names", lambda n: text.defines(F.col("content"), n))
+    tier = F.when(defined, F.col("unit") * F.col("_m") * F.when(at_home, OWN_FILE).otherwise(1.0)).otherwise(0.0)
+    ratio = text.keyword_matches(F.col("words"), text.path_parts(F.col("file_path"))) / F.size("words")
+    path = F.when((F.size("words") > 0) & (ratio >= RATIO), F.col("_m") * STEM * ratio).otherwise(0.0)
+    score = F.when(F.col("score").isNotNull(), F.col("score") + path + tier).otherwise(tier)
+    return rows.withColumn("score", score).where("_c or score > 0").select("query_id", "chunk_id", "file_path", "score", "ord")
 
 
 def rerank(candidates: DataFrame, k: int, penalise: Column | None = None) -> DataFrame:
@@ -116,6 +115,5 @@ def rerank(candidates: DataFrame, k: int, penalise: Column | None = None) -> Dat
 def hybrid(semantic: DataFrame, lexical: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, file_path, score, rank) from both rankings; queries: query_id, query, alpha in [0, 1]."""
     fused = fuse(semantic, lexical, queries).join(chunks.select("chunk_id", "file_path"), "chunk_id")
-    boosted = definition_boost(stem_boost(coherence(fused), queries), queries, chunks)
-    marked = boosted.join(queries.select("query_id", (F.col("alpha") < 1.0).alias("_q")), "query_id")
+    marked = boost(coherence(fused), queries, chunks).join(queries.select("query_id", (F.col("alpha") < 1.0).alias("_q")), "query_id")
     return rerank(marked, k, F.col("_q")).select("query_id", "chunk_id", "file_path", "score", "rank")

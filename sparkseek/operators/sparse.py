@@ -1,7 +1,7 @@
-"""BM25 over chunks; queries are a DataFrame.
+"""BM25 over chunks: an index is built once, and queries, a DataFrame, meet only its postings.
 
 Statistics (number of chunks, average length, document frequencies) always cover all chunks, whatever filter a
-search has. Only the terms that some query has are counted, so the big side shrinks before it is shuffled.
+search has; they are final once the index is built, so each posting holds its weight.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import enrich, tokenize
+from ..plans.store import cut, drop, written
 
 K1, B = 1.5, 0.75
+TERMS_SENT = 1_000_000  # query terms that are sent to every executor at most; more are joined by a shuffle
 
 
 def tokens(chunks: DataFrame, enriched: bool = True) -> DataFrame:
@@ -28,9 +30,15 @@ def corpus(tokenized: DataFrame) -> DataFrame:
     return lengths(tokenized).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def counted(tokenized: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, dl)."""
+    rows = tokenized.select("chunk_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    return rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
 def postings(tokenized: DataFrame) -> DataFrame:
     """(term, chunk_id, tf)."""
-    return tokenized.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    return counted(tokenized).select("term", "chunk_id", "tf")
 
 
 def idf(df, n):
@@ -39,24 +47,38 @@ def idf(df, n):
 
 def term_stats(postings_: DataFrame, corpus_: DataFrame) -> DataFrame:
     """(term, df, idf); corpus_ has one row."""
-    counted = postings_.groupBy("term").agg(F.count("*").alias("df"))
-    return counted.join(F.broadcast(corpus_)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
+    found = postings_.groupBy("term").agg(F.count("*").alias("df"))
+    return found.join(F.broadcast(corpus_)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
+
+
+def weighted(counted_: DataFrame, corpus_: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, dl, df, weight) of every posting."""
+    stats = term_stats(counted_, corpus_).join(F.broadcast(corpus_)).select("term", "df", "idf", "avgdl")
+    weight = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return counted_.join(stats, "term").select("term", "chunk_id", "tf", "dl", "df", weight.alias("weight"))
 
 
-def scores(tokenized: DataFrame, queries: DataFrame) -> DataFrame:
+def build(tokenized: DataFrame, n: int, path: str) -> DataFrame:
+    """The index of n chunks, written to path: weighted postings in ranges of (term, chunk_id), so that a frequent term has many files and a scan skips to its terms.
+
+    Texts are tokenised once; lengths come from the postings.
+    """
+    rows = cut(counted(tokenized))
+    total = rows.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / max(1, n)).alias("avgdl"))
+    made = written(weighted(rows, total).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), path)
+    drop(rows)
+    return made
+
+
+def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) for all pairs that share a term; queries: query_id, query. Repeated query terms add up.
 
     Scores are rounded to nine decimals: a distributed sum has no fixed order, and equal chunks must tie.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("term").distinct()
-    exploded = tokenized.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    counted = exploded.join(wanted, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    dfs = counted.groupBy("term").agg(F.count("*").alias("df"))
-    stats = dfs.join(F.broadcast(corpus(tokenized))).select("term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))  # one row of the corpus
-    weight = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = counted.join(stats, "term").select("term", "chunk_id", weight.alias("w"))
-    return asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 9).alias("score"))
+    asked = F.broadcast(asked) if asked.count() <= TERMS_SENT else asked
+    hits = index.select("term", "chunk_id", "weight").join(asked, "term")
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -65,9 +87,9 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(tokenized: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank); allowed: chunk_ids that may be returned."""
-    found = scores(tokenized, queries).where("score > 0")
+    found = scores(index, queries).where("score > 0")
     if allowed is not None:
         found = found.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     return top_k(found.select("query_id", "chunk_id", "score"), k)

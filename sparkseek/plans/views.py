@@ -35,3 +35,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's passages as queries."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a chunk of code that defines or uses a name made from the part's own, in a file whose path may have it too."""
+    k, n, kind = F.col("p_partkey"), (F.col("p_partkey") % 50).cast("string"), F.lower("p_type")
+    camel = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    name, snake = F.concat(camel, n), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), n)
+    said = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    paths = [said("src/", snake, ".py"), said("src/", kind, "/", F.lower(name), "s.rb"), said("tests/test_", snake, ".py"), said("src/", kind, "/util_", n, ".py"), said("examples/", F.lower(name), ".ts"), said("types/", F.lower(name), ".d.ts"), said("lib/", F.lower(camel), ".cs")]
+    contents = [said("class ", name, ":\n    pass"), said("x = ", name, "()"), said("create table ", name, " (id int)"), said("fn  base::", name, "<T>")]
+    asked = [name, said("Base::", name), said("how does ", name, " work with ", kind), said(F.col("p_name"), " of the ", kind, " tests")]
+    one = lambda of, by: F.get(F.array(*of), (by % len(of)).cast("int"))
+    return table(spark, sf_dir, "part").select(k.cast("long").alias("chunk_id"), one(paths, k).alias("file_path"), one(contents, k).alias("content"), F.when(k % 40 == 0, one(asked, F.floor(k / 40))).alias("query"))
+
+
+def windows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, window) of every run of n words of the texts, once for each key."""
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = df.select(key, words.alias("_w")).where(F.size("_w") >= n)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
+    return rows.select(key, F.explode(F.array_distinct(runs)).alias("window"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import files, text
 from .operators import chunks as chunking
 from .operators import dense, evaluate, rank, sparse
-from .plans import views
+from .plans import store, views
 from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,34 @@ def r6(c):
     return F.round(c, 6)
 
 
+#: what this session has stored of each folder's tables
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, what: str, write: Callable[[str], DataFrame]) -> DataFrame:
+    """Writes what to the shared folder, in place of an older one."""
+    key, path = (spark.sparkContext.applicationId, sf_dir, what), store.scratch(spark, what)
+    made = write(path)
+    old, _KEPT[key] = _KEPT.get(key), path
+    if old:
+        store.remove(spark, old)
+    return made
+
+
+def _kept(spark: SparkSession, sf_dir: str, what: str, write: Callable[[str], DataFrame]) -> DataFrame:
+    """What the session's first query that needs it has stored."""
+    path = _KEPT.get((spark.sparkContext.applicationId, sf_dir, what))
+    return spark.read.parquet(path) if path else _store(spark, sf_dir, what, write)
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    return lambda path: sparse.build(sparse.tokens(views.chunks(spark, sf_dir)), views.table(spark, sf_dir, "documents").count(), path)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "postings", _postings(spark, sf_dir))
+
+
 # --- SQL fragments
 
 _CAMEL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '([A-Z])([0-9])', '\\1 \\2', 'g')"
@@ -170,16 +198,22 @@ def bm25_doc_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.lengths(sparse.tokens(views.chunks(spark, sf_dir)))
 
 
+@register(f"WITH {_BM25} SELECT count(*)::BIGINT AS n_postings, count(DISTINCT term)::BIGINT AS n_terms, round(sum(w), 2) AS weight FROM w")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _store(spark, sf_dir, "postings", _postings(spark, sf_dir))
+    return made.agg(F.count("*").alias("n_postings"), F.countDistinct("term").alias("n_terms"), F.round(F.sum("weight"), 2).alias("weight"))
+
+
 @register(f"WITH {_BM25}, t AS ({_TOP}) SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM t WHERE rank <= {K}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sparse.search(sparse.tokens(views.chunks(spark, sf_dir)), views.queries(spark, sf_dir), K)
+    found = sparse.search(_index(spark, sf_dir), views.queries(spark, sf_dir), K)
     return found.select("query_id", "chunk_id", r6("score").alias("score"), "rank")
 
 
 @register(f"WITH {_BM25}, t AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b JOIN (SELECT chunk_id, language FROM c) USING (chunk_id) WHERE language = 'fr') SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM t WHERE rank <= {K}")
 def bm25_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = views.chunks(spark, sf_dir)
-    found = sparse.search(sparse.tokens(own), views.queries(spark, sf_dir), K, own.where("language = 'fr'"))
+    allowed = views.chunks(spark, sf_dir).where("language = 'fr'")
+    found = sparse.search(_index(spark, sf_dir), views.queries(spark, sf_dir), K, allowed)
     return found.select("query_id", "chunk_id", r6("score").alias("score"), "rank")
 
 
@@ -233,7 +267,7 @@ SELECT *, sum(score) OVER (PARTITION BY query_id, file_path) AS f, row_number()
 
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     own, asked = views.chunks(spark, sf_dir), views.queries(spark, sf_dir)
-    lexical = sparse.search(sparse.tokens(own), asked, OVER)
+    lexical = sparse.search(_index(spark, sf_dir), asked, OVER)
     vectors = views.vectors(spark, sf_dir).join(own.select("chunk_id"), "chunk_id", "left_semi")
     points = views.vectors(spark, sf_dir).select(F.col("chunk_id").alias("query_id"), "embedding").join(asked.select("query_id"), "query_id", "left_semi")
     return dense.search(vectors, points, OVER), lexical, asked.withColumn("alpha", F.lit(0.5)), own
@@ -263,27 +297,77 @@ def file_saturation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.rerank(_turn_scores(spark, sf_dir), 50).select("chunk_id", r6("score").alias("score"), "rank")
 
 
-_CODE = [(1, "class MyService:\n    pass", "src/my_service.py", 0.5), (2, "x = MyService()", "src/utils.py", 0.4), (3, "class Base:\n    pass", "src/base.py", 0.5), (4, "class MyService { }", "lib/myservice.cs", None), (5, "create table users (id int)", "db/users.sql", None)]
+# gains of queries over chunks kc(chunk_id, file_path, content), for candidates co and queries qs(query_id, query, alpha)
+_WORDS_OF = f"list_distinct(list_filter(list_transform(regexp_extract_all(query, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda w: lower(w)), lambda w: length(w) > 2 AND NOT list_contains({text.STOPWORDS!r}, w)))"
+_LEAF = r"CASE WHEN contains(query, '::') THEN string_split(query, '::')[-1] WHEN contains(query, '\') THEN string_split(query, '\')[-1] WHEN contains(query, '->') THEN string_split(query, '->')[-1] WHEN contains(query, '.') THEN string_split(query, '.')[-1] ELSE trim(query) END"
+_QUOTED = r"'\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*' || n || '(?:\s|[<({:\[;]|$)'"
+_DEFINES = f"len(list_filter(names, lambda n: regexp_matches(content, '(?m)(?:^|\\s)(?:{'|'.join(text.DEFINES)})' || {_QUOTED}) OR regexp_matches(content, '(?mi)(?:^|\\s)(?:{'|'.join(text.SQL_DEFINES)})' || {_QUOTED}))) > 0"
+_HOME = "len(list_filter(names, lambda n: lower(n) IN (ls, replace(ls, '_', ''), regexp_replace(ls, 's+$', ''), regexp_replace(replace(ls, '_', ''), 's+$', '')))) > 0"
+_NEAR = "len(list_filter(words, lambda w: len(list_filter(parts, lambda x: w = x OR (least(length(w), length(x)) >= 3 AND (starts_with(w, x) OR starts_with(x, w))))) > 0))"
+_BOOST = f"""ks AS (SELECT chunk_id, file_path, content, {_STEM} AS stem, lower({_STEM}) AS ls, regexp_extract(regexp_replace(file_path, '/[^/]*$', ''), '([^/]*)$', 1) AS parent FROM kc),
+kp AS (SELECT *, list_distinct(list_concat({_split('stem')}, {_split('parent')})) AS parts FROM ks),
+qa AS (SELECT *, CASE WHEN sym THEN [] ELSE {_WORDS_OF} END AS words, CASE WHEN sym THEN list_distinct([{_LEAF}, trim(query)]) ELSE list_distinct(regexp_extract_all(query, '{text.EMBEDDED}')) END AS names, CASE WHEN sym THEN 3.0::DOUBLE ELSE 1.5::DOUBLE END AS unit, lower({_LEAF}) AS leaf FROM (SELECT *, regexp_matches(trim(query), '{text.SYMBOL}') AS sym FROM qs)),
+mx AS (SELECT query_id, max(score) AS m FROM co GROUP BY query_id),
+al AS (SELECT query_id, chunk_id, score, ord FROM co UNION ALL
+SELECT query_id, chunk_id, NULL, 1000000000 + chunk_id FROM qa, kp WHERE CASE WHEN sym THEN leaf IN (ls, replace(ls, '_', ''), regexp_replace(ls, 's+$', ''), regexp_replace(replace(ls, '_', ''), 's+$', ''))
+ELSE len(list_filter(names, lambda n: ls = lower(n) OR replace(ls, '_', '') = lower(n) OR (length(ls) >= 4 AND starts_with(lower(n), ls)) OR (length(replace(ls, '_', '')) >= 4 AND starts_with(lower(n), replace(ls, '_', ''))))) > 0 END AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM co)),
+tr AS (SELECT query_id, chunk_id, file_path, alpha, ord, score, m, CASE WHEN {_DEFINES} THEN unit * m * CASE WHEN {_HOME} THEN 1.5 ELSE 1.0 END ELSE 0 END AS tier, CASE WHEN len(words) > 0 THEN {_NEAR} / len(words) ELSE 0 END AS ratio FROM al JOIN qa USING (query_id) JOIN kp USING (chunk_id) JOIN mx USING (query_id)),
+bo AS (SELECT query_id, chunk_id, file_path, alpha, ord, CASE WHEN score IS NULL THEN tier ELSE score + tier + CASE WHEN ratio >= 0.1 THEN m * ratio ELSE 0 END END AS score FROM tr WHERE score IS NOT NULL OR tier > 0)"""
+_RERANK = f"""pe AS (SELECT * REPLACE (score * CASE WHEN alpha < 1 THEN {_PENALTY} ELSE 1 END AS score) FROM (SELECT *, file_path AS p FROM bo)),
+ef AS (SELECT *, score * power(0.5, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, ord) - 1) AS eff FROM pe),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY eff DESC, score DESC, ord) AS rank FROM ef)
+SELECT query_id, chunk_id, round(eff, 9) AS score, rank::INTEGER AS rank FROM rk WHERE rank <= {K}"""
+
+# parts as code, a part in forty asking; candidates are taken from the parts beside it by arithmetic
+_NAME = "list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', '')"
+_CODE = rf"""pn AS (SELECT p_partkey::BIGINT AS k, p_name, lower(p_type) AS kind, {_NAME} AS camel, {_NAME} || p_partkey % 50 AS name, replace(p_name, ' ', '_') || '_' || p_partkey % 50 AS snake FROM part),
+kc AS (SELECT k AS chunk_id, ['src/' || snake || '.py', 'src/' || kind || '/' || lower(name) || 's.rb', 'tests/test_' || snake || '.py', 'src/' || kind || '/util_' || k % 50 || '.py', 'examples/' || lower(name) || '.ts', 'types/' || lower(name) || '.d.ts', 'lib/' || lower(camel) || '.cs'][k % 7 + 1] AS file_path,
+['class ' || name || ':' || chr(10) || '    pass', 'x = ' || name || '()', 'create table ' || name || ' (id int)', 'fn  base::' || name || '<T>'][k % 4 + 1] AS content FROM pn),
+qs AS (SELECT *, CASE WHEN regexp_matches(query, '{text.SYMBOL}') THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS alpha FROM (SELECT k AS query_id, [name, 'Base::' || name, 'how does ' || name || ' work with ' || kind, p_name || ' of the ' || kind || ' tests'][(k // 40) % 4 + 1] AS query FROM pn WHERE k % 40 = 0)),
+pr AS (SELECT query_id, chunk_id FROM qs JOIN kc ON chunk_id // 200 = query_id // 200),
+sm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (chunk_id * 37 + query_id * 11) % 101 DESC, chunk_id) AS rank FROM pr WHERE (chunk_id * 13 + query_id) % 5 = 0) WHERE rank <= 20),
+lx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (chunk_id * 53 + query_id * 5) % 97 DESC, chunk_id) AS rank FROM pr WHERE (chunk_id * 7 + query_id) % 3 = 0) WHERE rank <= 20),
+fu AS (SELECT query_id, chunk_id, alpha * coalesce(1.0::DOUBLE / (60 + sm.rank), 0) + (1 - alpha) * coalesce(1.0::DOUBLE / (60 + lx.rank), 0) AS score, CASE WHEN sm.rank IS NOT NULL THEN sm.rank ELSE 100000 + lx.rank END AS ord FROM sm FULL JOIN lx USING (query_id, chunk_id) JOIN qs USING (query_id)),
+fp AS (SELECT fu.*, file_path FROM fu JOIN kc USING (chunk_id)), {_COHERE}"""
+
+
+def _code_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Semantic hits, lexical hits, queries and chunks."""
+    own = views.code(spark, sf_dir)
+    asked = own.where("query is not null").select(F.col("chunk_id").alias("query_id"), "query", text.alpha(F.col("query"), F.lit(None)).alias("alpha"))
+    q, c = F.col("query_id"), F.col("chunk_id")
+    pairs = asked.select(q, F.floor(q / 200).alias("near")).join(own.select(c, F.floor(c / 200).alias("near")), "near")
+    semantic = sparse.top_k(pairs.where((c * 13 + q) % 5 == 0).select(q, c, ((c * 37 + q * 11) % 101).alias("score")), 20)
+    lexical = sparse.top_k(pairs.where((c * 7 + q) % 3 == 0).select(q, c, ((c * 53 + q * 5) % 97).alias("score")), 20)
+    return semantic, lexical, asked, own.drop("query")
+
+
+def _code_boosts(spark: SparkSession, sf_dir: str, symbol: bool) -> DataFrame:
+    semantic, lexical, asked, own = _code_hits(spark, sf_dir)
+    fused = rank.coherence(rank.fuse(semantic, lexical, asked).join(own.select("chunk_id", "file_path"), "chunk_id"))
+    kept = asked.where(text.is_symbol(F.col("query")) == symbol)
+    return rank.boost(fused, kept, own).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@register(f"WITH {_CODE}, {_BOOST} SELECT query_id, chunk_id, round(score, 9) AS score FROM bo WHERE query_id IN (SELECT query_id FROM qa WHERE sym)")
+def symbol_definition_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code_boosts(spark, sf_dir, True)
 
 
-def _boosts(spark: SparkSession, query: str) -> DataFrame:
-    own = spark.createDataFrame([(i, c, p) for i, c, p, _ in _CODE], "chunk_id long, content string, file_path string")
-    found = spark.createDataFrame([(1, i, p, s) for i, _, p, s in _CODE if s], "query_id long, chunk_id long, file_path string, score double").withColumn("ord", rank.order(0, F.col("chunk_id")))
-    asked = spark.createDataFrame([(1, query)], "query_id long, query string")
-    return rank.definition_boost(found, asked, own).select("chunk_id", r6("score").alias("score"))
+@register(f"WITH {_CODE}, {_BOOST} SELECT query_id, chunk_id, round(score, 9) AS score FROM bo WHERE query_id IN (SELECT query_id FROM qa WHERE NOT sym)")
+def embedded_symbol_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code_boosts(spark, sf_dir, False)
 
 
-@register("SELECT * FROM (VALUES (1::BIGINT, 2.75::DOUBLE), (2, 0.4), (3, 0.5), (4, 2.25)) AS t(chunk_id, score)")
-def symbol_definition_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boosts(spark, "MyService")
+@register(f"WITH {_CODE}, {_BOOST}, {_RERANK}")
+def hybrid_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.hybrid(*_code_hits(spark, sf_dir), K).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
-@register("SELECT * FROM (VALUES (1::BIGINT, 1.625::DOUBLE), (2, 0.4), (3, 0.5), (4, 1.125)) AS t(chunk_id, score)")
-def embedded_symbol_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boosts(spark, "how does MyService work")
+_ASKED_OF = "kc AS (SELECT chunk_id, file_path, content FROM c), qs AS (SELECT item_id::BIGINT AS query_id, text AS query, 0.5::DOUBLE AS alpha FROM benchmark)"
 
 
-@register(f"WITH {_HITS}, {_COHERE}, ef AS (SELECT *, score * power(0.5, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, ord) - 1) AS eff FROM co), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY eff DESC, score DESC, ord) AS rank FROM ef) SELECT query_id, chunk_id, round(eff, 9) AS score, rank::INTEGER AS rank FROM rk WHERE rank <= {K}")
+@register(f"WITH {_HITS}, {_COHERE}, {_ASKED_OF}, {_BOOST}, {_RERANK}")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rank.hybrid(*_fused(spark, sf_dir), K)
     return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
@@ -291,7 +375,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ablation(alpha: float) -> str:
     halves = "0.5 * coalesce(1.0::DOUBLE / (60 + sm.rank), 0) + 0.5 * coalesce"
-    return ORACLES["hybrid_search"].replace(halves, halves.replace("0.5 * coalesce(1.0", f"{alpha}::DOUBLE * coalesce(1.0").replace("+ 0.5", f"+ {1 - alpha}::DOUBLE"))
+    sql = ORACLES["hybrid_search"].replace("0.5::DOUBLE AS alpha FROM benchmark", f"{alpha}::DOUBLE AS alpha FROM benchmark")
+    return sql.replace(halves, halves.replace("0.5 * coalesce(1.0", f"{alpha}::DOUBLE * coalesce(1.0").replace("+ 0.5", f"+ {1 - alpha}::DOUBLE"))
 
 
 @register(_ablation(0.0))
@@ -306,20 +391,28 @@ def ablation_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.hybrid(semantic, lexical, asked.withColumn("alpha", F.lit(1.0)), own, K).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
-# --- evaluation: a document is relevant to a benchmark passage if it holds its first 60 characters
+# --- evaluation: a document is relevant to a benchmark passage if it has any eight consecutive words of it
 
-_RELEVANT = "r AS (SELECT item_id::BIGINT AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
+RUN = 8
+_RUNS = r"SELECT {0} AS id, array_to_string(w[i : i + 7], ' ') AS r FROM (SELECT {0}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {0}, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM {1}) WHERE len(w) >= 8)"
+_RELEVANT = f"r AS (SELECT DISTINCT b.id::BIGINT AS query_id, d.id AS chunk_id FROM ({_RUNS.format('item_id', 'benchmark')}) b JOIN ({_RUNS.format('doc_id', 'documents')}) d USING (r))"
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = views.queries(spark, sf_dir).select("query_id", F.substring("query", 1, 60).alias("h"))
-    return views.chunks(spark, sf_dir).join(heads, F.contains("content", F.col("h"))).select("query_id", "chunk_id")
+    asked = views.windows(views.queries(spark, sf_dir), "query_id", "query", RUN)
+    found = views.windows(views.chunks(spark, sf_dir), "chunk_id", "content", RUN).join(asked, "window").select("query_id", "chunk_id").distinct()
+    return _kept(spark, sf_dir, "relevant", lambda path: store.written(found, path))
+
+
+@register(f"WITH {_CHUNKS}, {_RELEVANT} SELECT query_id, chunk_id FROM r")
+def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relevant(spark, sf_dir)
 
 
 @register(f"WITH {_BM25}, {_RELEVANT}, t AS (SELECT * FROM ({_TOP}) WHERE rank <= {K}), g AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg FROM t JOIN r USING (query_id, chunk_id) GROUP BY query_id), m AS (SELECT query_id, count(*) AS n FROM r GROUP BY query_id) SELECT query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least({K}, n) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM m LEFT JOIN g USING (query_id)")
 def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     relevant = _relevant(spark, sf_dir)
-    hits = sparse.search(sparse.tokens(views.chunks(spark, sf_dir)), views.queries(spark, sf_dir), K).join(relevant, ["query_id", "chunk_id"])
+    hits = sparse.search(_index(spark, sf_dir), views.queries(spark, sf_dir), K).join(relevant, ["query_id", "chunk_id"])
     return evaluate.ndcg(hits, relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant")), K).select("query_id", r6("ndcg").alias("ndcg"))
 
 
@@ -329,8 +422,10 @@ pt AS (SELECT query_id, rank, sum(tok) OVER z AS cum, sum(hit::INTEGER) OVER z A
 
 def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     relevant = _relevant(spark, sf_dir)
-    t = sparse.tokens(views.chunks(spark, sf_dir))
-    found = sparse.search(t, views.queries(spark, sf_dir), 50).join(t.select("chunk_id", F.size("tokens").alias("tokens")), "chunk_id")
+    index = _index(spark, sf_dir)
+    found = sparse.search(index, views.queries(spark, sf_dir), 50)
+    sizes = index.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max("dl").alias("tokens"))
+    found = found.join(sizes, "chunk_id")
     marked = found.join(relevant.withColumn("target_id", F.col("chunk_id")), ["query_id", "chunk_id"], "left")
     return evaluate.curves(marked), relevant.groupBy("query_id").agg(F.count("*").alias("n_targets"))
 
@@ -345,10 +440,15 @@ def tokens_to_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.tokens_to_first_hit(*_points(spark, sf_dir))
 
 
-@register(f"WITH {_CHUNKS}, l AS (SELECT file_path, unnest(string_split(lower(content), chr(10))) AS l FROM c), q AS (SELECT item_id::BIGINT AS query_id, lower(left(text, 12)) AS p FROM benchmark) SELECT query_id, file_path, count(*)::BIGINT AS n FROM l JOIN q ON contains(l, p) GROUP BY ALL")
+_GREP = """m AS (SELECT pattern, file_path, count(*) AS n FROM l JOIN (SELECT DISTINCT pattern FROM p) ON contains(l, pattern) GROUP BY ALL),
+t AS (SELECT pattern, file_path, n, coalesce(sum(n) OVER (PARTITION BY pattern ORDER BY file_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM m)
+SELECT query_id, file_path, sum(least(n, 500 - b))::BIGINT AS n FROM p JOIN t USING (pattern) WHERE b < 500 GROUP BY ALL"""
+_LINE = "l AS (SELECT file_path, unnest(string_split(lower(content), chr(10))) AS l FROM c)"
+
+
+@register(f"WITH {_CHUNKS}, {_LINE}, p AS (SELECT item_id::BIGINT AS query_id, lower(text) AS pattern FROM benchmark WHERE text IS NOT NULL), {_GREP}")
 def grep_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = views.queries(spark, sf_dir).select("query_id", F.substring("query", 1, 12).alias("pattern"))
-    return evaluate.grep(views.chunks(spark, sf_dir), patterns)
+    return evaluate.grep(views.chunks(spark, sf_dir), views.queries(spark, sf_dir).withColumnRenamed("query", "pattern"))
 
 
 @register("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
@@ -366,20 +466,16 @@ def keywords_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "benchmark").select("item_id", F.size(k).cast("long").alias("n"), F.md5(F.array_join(k, " ")).alias("words"))
 
 
-@register(f"""WITH {_CHUNKS}, l AS (SELECT file_path, unnest(string_split(lower(content), chr(10))) AS l FROM c), q AS (SELECT item_id::BIGINT AS query_id, left(text, 20) AS q FROM benchmark),
-p AS (SELECT query_id, unnest(CASE WHEN len({_GREP_WORDS}) > 0 THEN {_GREP_WORDS} ELSE [lower(q)] END) AS pattern FROM q),
-m AS (SELECT pattern, file_path, count(*) AS n FROM l JOIN (SELECT DISTINCT pattern FROM p) ON contains(l, pattern) GROUP BY ALL),
-t AS (SELECT pattern, file_path, n, coalesce(sum(n) OVER (PARTITION BY pattern ORDER BY file_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM m)
-SELECT query_id, file_path, sum(least(n, 500 - b))::BIGINT AS n FROM p JOIN t USING (pattern) WHERE b < 500 GROUP BY ALL""")
+@register(f"""WITH {_CHUNKS}, {_LINE}, q AS (SELECT item_id::BIGINT AS query_id, text AS q FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT query_id, unnest(CASE WHEN len({_GREP_WORDS}) > 0 THEN {_GREP_WORDS} ELSE [lower(q)] END) AS pattern FROM q), {_GREP}""")
 def grep_keyword_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = views.queries(spark, sf_dir).select("query_id", F.substring("query", 1, 20).alias("query"))
-    return evaluate.grep_keywords(views.chunks(spark, sf_dir), asked)
+    return evaluate.grep_keywords(views.chunks(spark, sf_dir), views.queries(spark, sf_dir))
 
 
 @register(f"WITH {_BM25}, {_RELEVANT}, t AS (SELECT * FROM ({_TOP}) WHERE rank <= {K}) SELECT query_id, chunk_id AS target_id, rank::INTEGER AS rank FROM r LEFT JOIN t USING (query_id, chunk_id)")
 def target_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = views.chunks(spark, sf_dir)
-    found = sparse.search(sparse.tokens(own), views.queries(spark, sf_dir), K).join(own.select("chunk_id", "file_path"), "chunk_id").withColumns({"start_line": F.lit(1), "end_line": F.lit(1)})
+    found = sparse.search(_index(spark, sf_dir), views.queries(spark, sf_dir), K).join(own.select("chunk_id", "file_path"), "chunk_id").withColumns({"start_line": F.lit(1), "end_line": F.lit(1)})
     none = F.lit(None).cast("int")
     wanted = _relevant(spark, sf_dir).select("query_id", F.col("chunk_id").alias("target_id"), F.concat(F.lit("doc_"), F.col("chunk_id"), F.lit(".txt")).alias("path"), none.alias("first_line"), none.alias("last_line"))
     return evaluate.target_ranks(found, wanted)
@@ -424,7 +520,7 @@ def format_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.render import rendered
 
     own = views.chunks(spark, sf_dir).withColumns({"start_line": F.lit(1), "end_line": F.lit(1)})
-    found = sparse.search(sparse.tokens(own), views.queries(spark, sf_dir), 3).join(own, "chunk_id")
+    found = sparse.search(_index(spark, sf_dir), views.queries(spark, sf_dir), 3).join(own, "chunk_id")
     return rendered(found, "Results").select("query_id", F.md5("rendered").alias("digest"))
 
 

@@ -89,7 +89,9 @@ def listing(spark: SparkSession, root: str, **options) -> DataFrame:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """files with content and kind, read on the executors; files that can't be read are left out. Their folder must be shared.
+    """files with content and kind, read on the executors; files that can't be opened for want of permission, or have gone, are left out.
+
+    Their folder must be shared: a task that doesn't even see the folder of a file raises.
 
     Text is read leniently. Documents with an extractor give its text, and kind says how it is cut; those whose backend
     isn't there or fails are left out.
@@ -102,7 +104,11 @@ def read(files: DataFrame) -> DataFrame:
                 return backend(path) if backend else (None, None)
             with open(path, "rb") as f:
                 return f.read().decode("utf-8-sig", "replace"), None
-        except (OSError, ValueError, subprocess.SubprocessError):
+        except FileNotFoundError:
+            if not os.path.isdir(os.path.dirname(path)):
+                raise
+            return None, None
+        except (PermissionError, IsADirectoryError, ValueError, subprocess.SubprocessError):
             return None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,9 +121,9 @@ def read(files: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def cloned(url: str, ref: str | None = None, timeout: int = 60) -> Iterator[str]:
-    """A shallow clone in a folder that is deleted afterwards."""
-    folder = tempfile.mkdtemp()
+def cloned(url: str, ref: str | None = None, timeout: int = 60, within: str | None = None) -> Iterator[str]:
+    """A shallow clone in a folder that is deleted afterwards; within: a folder that the executors see too."""
+    folder = tempfile.mkdtemp(dir=within)
     try:
         command = ["git", "clone", "--depth", "1", *(["--branch", ref] if ref else []), "--", url, folder]
         done = subprocess.run(command, capture_output=True, text=True, timeout=timeout)

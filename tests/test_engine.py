@@ -28,12 +28,13 @@ def column(spark, values, f, kind="string"):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], f"x {kind}").select(f(F.col("x"))).collect()]
 
 
-def test_bm25_goldens(spark):
+def test_bm25_goldens(spark, tmp_path):
     corpus = ["def authenticate token", "def login user", "class config host", "def authenticate session token"]
     tokens = spark.createDataFrame([(i, t.split()) for i, t in enumerate(corpus)], "chunk_id long, tokens array<string>")
+    index = sparse.build(tokens, 4, f"{tmp_path}/index")
 
     def ask(q):
-        got = {r["chunk_id"]: r["score"] for r in sparse.scores(tokens, spark.createDataFrame([(1, q)], "query_id long, query string")).collect()}
+        got = {r["chunk_id"]: r["score"] for r in sparse.scores(index, spark.createDataFrame([(1, q)], "query_id long, query string")).collect()}
         return [pytest.approx(got.get(i, 0), abs=1e-6) for i in range(4)]
 
     assert ask("authenticate") == [0.287200, 0, 0, 0.251175]
@@ -84,6 +85,19 @@ def test_saturation_is_the_loop(spark):
     assert got == [(i, s) for s, _, i in sorted(chosen, key=lambda c: (-c[0], c[1]))[:7]]
 
 
+def test_gains_share_one_best_score(spark):
+    own = spark.createDataFrame([(1, "class MyService:\n    pass", "src/service_handler.py"), (2, "x = 1", "src/other.py"), (3, "class MyService { }", "lib/myservice.cs")], "chunk_id long, content string, file_path string")
+    found = spark.createDataFrame([(1, 1, "src/service_handler.py", 0.5), (1, 2, "src/other.py", 0.4)], "query_id long, chunk_id long, file_path string, score double").withColumn("ord", rank.order(0, F.col("chunk_id")))
+
+    def ask(query):
+        asked = spark.createDataFrame([(1, query), (2, query)], "query_id long, query string")
+        return {r["chunk_id"]: round(r["score"], 6) for r in rank.boost(found, asked, own).collect()}
+
+    assert ask("service handler for MyService") == {1: round(0.5 + 0.5 * 2 / 3 + 0.5 * 3 * 0.5, 6), 2: 0.4, 3: 0.5 * 3 * 0.5 * 1.5}
+    assert ask("MyService") == {1: 0.5 + 0.5 * 3, 2: 0.4, 3: 0.5 * 3 * 1.5}
+    assert ask("nothing of that") == {1: 0.5, 2: 0.4}
+
+
 def test_lines(spark):
     df = spark.createDataFrame([(n, "\n".join(f"l{i}" for i in range(n)) + "\n") for n in (1, 50, 95, 96)] + [(0, ""), (-1, " \n")], "n int, content string")
     got = {}
