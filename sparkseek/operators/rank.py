@@ -84,15 +84,16 @@ def boost(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataF
     q = asked(queries)
     pulled = named(q, chunks).select("query_id", "chunk_id", "file_path", F.lit(None).cast("double").alias("score"), order(2, F.col("chunk_id")).alias("ord"))
     both = candidates.select("query_id", "chunk_id", "file_path", "score", "ord").unionByName(pulled)
+    # what paths say is made here, below the windows: within the lambdas it would be made again for every word
+    both = both.withColumns({"_stem": F.lower(text.stem(F.col("file_path"))), "_parts": text.path_parts(F.col("file_path"))})
     query, one = Window.partitionBy("query_id"), Window.partitionBy("query_id", "chunk_id")
     rows = both.select("*", F.max("score").over(query).alias("_m"), F.max("score").over(one).isNotNull().alias("_c")).where("_m is not null and (score is not null or not _c)")
     rows = rows.join(q, "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
 
-    stem = F.lower(text.stem(F.col("file_path")))
-    at_home = F.exists("names", lambda n: text.stem_matches(stem, F.lower(n)))
+    at_home = F.exists("names", lambda n: text.stem_matches(F.col("_stem"), F.lower(n)))
     defined = F.exists("names", lambda n: text.defines(F.col("content"), n))
     tier = F.when(defined, F.col("unit") * F.col("_m") * F.when(at_home, OWN_FILE).otherwise(1.0)).otherwise(0.0)
-    ratio = text.keyword_matches(F.col("words"), text.path_parts(F.col("file_path"))) / F.size("words")
+    ratio = text.keyword_matches(F.col("words"), F.col("_parts")) / F.size("words")
     path = F.when((F.size("words") > 0) & (ratio >= RATIO), F.col("_m") * STEM * ratio).otherwise(0.0)
     score = F.when(F.col("score").isNotNull(), F.col("score") + path + tier).otherwise(tier)
     return rows.withColumn("score", score).where("_c or score > 0").select("query_id", "chunk_id", "file_path", "score", "ord")

@@ -59,13 +59,14 @@ def weighted(counted_: DataFrame, corpus_: DataFrame) -> DataFrame:
 
 
 def build(tokenized: DataFrame, n: int, path: str) -> DataFrame:
-    """The index of n chunks, written to path: weighted postings in ranges of (term, chunk_id), so that a frequent term has many files and a scan skips to its terms.
+    """The index of n chunks, written to path: weighted postings, dealt out by chunk and sorted by term within each file.
 
+    So a frequent term is in all files, a scan skips to its terms, and a chunk's score adds up in one task before any shuffle.
     Texts are tokenised once; lengths come from the postings.
     """
     rows = cut(counted(tokenized))
     total = rows.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / max(1, n)).alias("avgdl"))
-    made = written(weighted(rows, total).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), path)
+    made = written(weighted(rows, total).repartition("chunk_id").sortWithinPartitions("term", "chunk_id"), path)
     drop(rows)
     return made
 
