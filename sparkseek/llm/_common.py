@@ -2,64 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.store import cut, drop, scratch, shared_dir
+from ..plans.views import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return os.path.dirname(known.rstrip("/"))
-    own = "file://" + tempfile.mkdtemp(prefix="checkpoints")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends, all executors see it."""
-    spark = df.sparkSession
-    path = scratch(spark, "step")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Removes the files of a frame made by cut(); nothing lazy may still need them."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["cut", "drop", "partitions", "raw", "scratch", "shared_dir", "slices", "table"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes of text each, so that Python's copies stay small."""
     import pyarrow.compute as pc

@@ -8,21 +8,36 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ordered by their next `depth` symbols or more; equal ones by position."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ordered by their next `depth` symbols, equal ones by position; and where in that order the first depth - 1 symbols change.
+
+    Symbols beyond the end count as none. Ranks by k symbols give ranks by up to 2k.
+    """
     n, rank, k = len(text), text.astype(np.int64), 1
     order = np.argsort(rank, kind="stable")
-    while True:
-        top = int(rank.max(initial=0)) + 1
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - k] = rank[k:]
-        key = rank * top + ahead
+
+    def ahead(by: int) -> np.ndarray:
+        out = np.full(n, -1, np.int64)
+        out[: max(0, n - by)] = rank[by:]
+        return out
+
+    while k < depth:
+        short = depth - 1
+        if k <= short <= 2 * k:
+            first = rank, ahead(short - k)
+        by = min(k, depth - k)
+        key = rank * (int(rank.max(initial=0)) + 2) + ahead(by) + 1
         order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))[:n]
-        rank, k = new, 2 * k
-        if k >= depth or (n and rank[order[-1]] == n - 1):
-            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))[:n]
+        k += by
+    new = np.ones(n, bool)
+    if depth > 1:
+        a, b = first[0][order], first[1][order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    elif n:
+        new[1:] = False
+    return order, new
 
 
 class Bits:
@@ -45,12 +60,17 @@ class Bits:
 class FMIndex:
     """Index of a text of symbols 1..; 0 separates parts, and no pattern contains it.
 
-    Suffixes are ordered by `depth` symbols, which is enough for patterns of up to that length.
+    Suffixes are ordered by `depth` symbols, which is enough for patterns of up to that length. first_of and end_of
+    give, for each suffix, the interval of those that share its first depth - 1 symbols (the parent's interval).
     """
 
     def __init__(self, text: np.ndarray, depth: int):
         self.text, self.depth = text, depth
-        self.positions = suffix_order(text, depth).astype(np.int32)
+        order, new = suffix_order(text, depth)
+        self.positions = order.astype(np.int32)
+        heads = np.flatnonzero(new)
+        of = np.cumsum(new) - 1
+        self.first_of, self.end_of = heads[of], np.append(heads[1:], len(text))[of]
         bwt = text[self.positions - 1]
         symbols = int(text.max(initial=0)) + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))[:-1]
@@ -78,33 +98,26 @@ class FMIndex:
             low = self._down(bits, low, (symbol >> level) & 1)
         return self.first[symbol] + low - self.starts[symbol]
 
-    def statistics(self, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of the text against the rest of itself, up to `most`, at the given end positions.
+    def stream(self, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where parts of the text, streamed against the index, match `depth` symbols: the intervals (low, high) of counts[i] windows from starts[i] on.
 
-        For each: the length of the longest match ending there that also occurs elsewhere, and the interval
-        of suffixes (low, high) for the match of length `most` where that was reached.
+        Parts run from right to left side by side. The last window takes `depth` backward steps. Each window before it takes one: the
+        match drops its last symbol, which widens its interval to the parent's, and a backward step adds the symbol on its left.
+        A window occurs where it was read, at least, so no match ever breaks off.
         """
-        n = len(ends)
-        length, low, high = np.zeros(n, np.int32), np.zeros(n, np.int64), np.full(n, len(self.text), np.int64)
-        active = np.arange(n)
-        for back in range(most):
-            symbol = self.text[ends[active] - back]
-            lo, hi = self.step(symbol, low[active]), self.step(symbol, high[active])
-            go = hi - lo >= 2
-            active = active[go]
-            low[active], high[active] = lo[go], hi[go]
-            length[active] = back + 1
-            if not len(active):
-                break
-        return length, low, high
-
-    def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The first position in the text among the suffixes of each interval; intervals are equal or disjoint."""
-        if not len(low):
-            return low
-        lows, which = np.unique(low, return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[which] = high
-        bounds = np.stack((lows, highs), axis=1).ravel()
-        padded = np.append(self.positions, np.int32(0))
-        return np.minimum.reduceat(padded, bounds)[::2][which]
+        ends = np.cumsum(counts)
+        low, high = np.zeros(ends[-1] if len(ends) else 0, np.int64), np.zeros(ends[-1] if len(ends) else 0, np.int64)
+        last = starts + counts - 1
+        a, b = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text), np.int64)
+        for back in reversed(range(self.depth)):
+            symbol = self.text[last + back]
+            a, b = self.step(symbol, a), self.step(symbol, b)
+        at, left = np.arange(len(starts)), 0
+        while len(at):
+            low[ends[at] - 1 - left], high[ends[at] - 1 - left] = a, b
+            left += 1
+            go = counts[at] > left
+            at, a = at[go], a[go]
+            symbol = self.text[last[at] - left]
+            a, b = self.step(symbol, self.first_of[a]), self.step(symbol, self.end_of[a])
+        return low, high

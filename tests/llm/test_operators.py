@@ -233,10 +233,10 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 2, 5000])
-def test_substring(spark, unique, monkeypatch, hot):
+@pytest.mark.parametrize("most", [0, 2, 5000])
+def test_substring(spark, unique, monkeypatch, most):
     inner = substring.repeats
-    monkeypatch.setattr(substring, "repeats", lambda d, w: inner(d, w, hot=hot))
+    monkeypatch.setattr(substring, "repeats", lambda d, w: inner(d, w, most=most))
     assert sorted(tuple(r) for r in substring.dedup(unique).select("doc_id", "n_words", "n_removed", "kept").collect()) == sorted(brute_repeats(UNIQUE, 20))
     r = random.Random(3)
     few = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 60)))) for i in range(120)]
@@ -249,11 +249,24 @@ def test_substring_of_words_that_recur_in_one_document_only(spark, text):
     assert [tuple(x) for x in substring.dedup(frame(spark, rows, False)).select("doc_id", "n_words", "n_removed", "kept").collect()] == brute_repeats(rows, 20)
 
 
-def test_copied_segments_of_a_slice():
+def test_equal_segments_of_a_slice():
     mh, ch = np.array([5, 5, 5, 5, 7], np.uint64), np.array([1, 1, 1, 2, 1], np.uint64)
-    assert substring.copied(mh, ch, np.array([4, 3, 3, 1, 1]), np.array([0, 2, 1, 0, 0])).tolist() == [True, True, False, False, False]
-    assert substring.copied(mh[:3], ch[:3], np.array([3, 3, 4]), np.array([1, 1, 0])).tolist() == [False, False, True]
-    assert substring.copied(mh[:0], ch[:0], np.zeros(0, int), np.zeros(0, int)).tolist() == []
+    first, other, offsets = substring.collapsed(mh, ch, np.array([4, 3, 3, 1, 1]), np.array([0, 2, 1, 0, 0]))
+    assert [(f, other[a:b].tolist()) for f, a, b in zip(first.tolist(), offsets, offsets[1:])] == [(2, [1, 0]), (3, []), (4, [])]
+    first, other, offsets = substring.collapsed(mh[:3], ch[:3], np.array([3, 3, 4]), np.array([1, 1, 0]))
+    assert len(first) == 1 and other.tolist() == [2] and offsets.tolist() == [0, 1]
+    assert substring.collapsed(mh[:0], ch[:0], np.zeros(0, int), np.zeros(0, int))[2].tolist() == [0]
+
+
+def test_substring_is_what_the_index_reports(unique, monkeypatch):
+    monkeypatch.setattr(substring, "_shard", lambda window: lambda batches: (substring._batch([], substring.REPORT) for b in batches))
+    assert substring.dedup(unique).where("n_removed > 0").count() == 0
+
+
+def test_a_copy_is_compared_before_it_goes():
+    same = substring.second_hash(b"a b c")
+    assert substring.kept([b"a", b"b", b"c", b"d"], [{"at": 0, "n": 1, "hash": same}], 3) == [b"d"]
+    assert substring.kept([b"a", b"x", b"c", b"d"], [{"at": 0, "n": 1, "hash": same}], 3) == [b"a", b"x", b"c", b"d"]
 
 
 def test_substring_with_repeated_rows(docs, empty):
@@ -264,21 +277,21 @@ def test_substring_with_repeated_rows(docs, empty):
     assert substring.dedup(empty).count() == 0
 
 
-def test_fm_index():
+@pytest.mark.parametrize("depth", [2, 3, 7, 8, 20])
+def test_fm_index(depth):
     r = np.random.default_rng(1)
-    text = r.integers(0, 5, 3000)
-    index = fmindex.FMIndex(text, 8)
-    ends = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(text, 8).min(axis=1) > 0) + 7
-    length, low, high = index.statistics(ends, 8)
-    first = index.earliest(low, high)
+    parts = [r.integers(1, 3, n).tolist() for n in r.integers(depth, depth + 30, 60)]
+    text = np.array([x for p in parts for x in [*p, 0]])
+    starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))[:-1]
+    counts = np.array([len(p) - depth + 1 for p in parts])
+    index = fmindex.FMIndex(text, depth)
+    low, high = index.stream(starts, counts)
+    begin = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, counts, strict=True)])
     where = {}
-    for e in ends:
-        where.setdefault(tuple(text[e - 7 : e + 1]), []).append(e - 7)
-    for e, n, lo, hi, f in zip(ends, length, low, high, first, strict=True):
-        places = where[tuple(text[e - 7 : e + 1])]
-        assert (n == 8) == (len(places) > 1)
-        if n == 8:
-            assert hi - lo == len(places) and f == min(places)
+    for i in begin:
+        where.setdefault(tuple(text[i : i + depth]), []).append(i)
+    for i, a, b in zip(begin, low, high, strict=True):
+        assert index.positions[a:b].tolist() == where[tuple(text[i : i + depth])]
 
 
 # --- 6
