@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, drop
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: a node's larger neighbours go to the smallest of the node and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both).select("u", F.least("u", "m").alias("m"))
-        now = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours go to the smallest of these
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(now.join(_least(now), "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct())
+        was, now = now, cut(large.join(_least(large), "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct())
+        drop(was)
     return now.select("u", F.col("v").alias("root"))

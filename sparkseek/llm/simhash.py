@@ -5,15 +5,15 @@ seed 42), and a bit is set if over half of the shingles have it. A text with few
 shingle has them all as its one shingle; a text without words, or a null one, has fingerprint zero.
 
 Links: two fingerprints link if at most `distance` bits differ. The fingerprint is embedded as the
-bit counts of 32 segments of two bits. The Manhattan distance of two embeddings is at most the
+bit counts of 32 segments of two bits, a point of a grid. The Manhattan distance of two points is at most the
 number of differing bits, so it is a lower bound. Segments form `groups` runs; within radius
 `distance` at most that many runs can differ, so the pair agrees in the bit counts of the others,
-that is, shares the grid cell of one choice of `groups - distance` runs. Pairs of a cell are kept
-if the Manhattan distance of the whole embeddings and then the exact Hamming distance are within
-the radius. A cell of more than `dense` fingerprints isn't paired: there, a fingerprint goes to hubs,
-all values with at most `distance / 2` of its bits changed; two fingerprints are within an even
-`distance` exactly if they share a hub, and each links to the smallest fingerprint at its hub, which
-loses no connection and makes rows in proportion to the cell's size.
+that is, shares the grid cell of one choice of `groups - distance` runs. A fingerprint without company in all its
+cells has no links. The others are joined by range, without forming a cell's pairs, whatever its size: values within
+`distance` of each other lie within half of it of a value between them, so each fingerprint
+goes to every value with at most `distance / 2` of its bits changed, and links to the smallest fingerprint there. That loses no
+connection and makes rows in proportion to the fingerprints. Each link is kept if the Manhattan distance of the embeddings and then the exact Hamming
+distance are within the radius.
 
 Equal fingerprints are one node, whatever the number of documents. Rows with null ids take part in
 links but don't name a component unless it has no other ids (then: null); repeated rows, ties and
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, raw, slices
+from ._common import cut, drop, raw, slices
 from .components import components
 
 SEED = 42
@@ -105,38 +105,38 @@ def cells(distance: int, groups: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def hubs(fp: Column, distance: int) -> Column:
-    """All values with at most distance / 2 of fp's bits changed; distance is 0 or 2."""
-    flips = [0] if distance < 2 else [0, *[1 << i for i in range(63)], -(1 << 63)]
-    return F.array(*[fp.bitwiseXOR(F.lit(x).cast("long")) for x in flips])
+def between(fp: Column, distance: int) -> Column:
+    """All values with at most distance / 2 of fp's bits changed."""
+    bits = [1 << i for i in range(63)] + [-(1 << 63)]
+    flips = [sum(c) for k in range(distance // 2 + 1) for c in combinations(bits, k)]
+    return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: fp.bitwiseXOR(x))
 
 
-def links(prints: DataFrame, distance: int = 2, groups: int = 5, dense: int = 48) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints, prints having them in column fp, that connect all within the distance."""
-    if distance not in (0, 2):
-        raise ValueError("distance must be 0 or 2")
+def links(prints: DataFrame, distance: int = 2, groups: int = 5) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints, prints having them in column fp, that connect all within the distance, which is 0, 2 or 4."""
+    if distance not in (0, 2, 4) or groups <= distance:
+        raise ValueError("distance must be 0, 2 or 4, and groups more than that")
     masks = cells(distance, groups)
     pts = prints.select("fp", counts(F.col("fp")).alias("e"))
     keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("e").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks)])
-    placed = pts.select("fp", F.explode(keys).alias("c")).select("fp", "c.i", "c.k")
-    size = cut(placed.groupBy("i", "k").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(placed.join(size, ["i", "k"]))  # most fingerprints are alone in their cells
-    a = shared.where(F.col("n") <= dense).select("i", "k", F.col("fp").alias("u"))
-    b = a.select("i", "k", F.col("u").alias("v"))
-    eu, ev = counts(F.col("u")), counts(F.col("v"))
-    sparse = a.join(b, ["i", "k"]).where("u > v").where(manhattan(eu, ev) <= distance).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).select("u", "v")
-    crowded = shared.where(F.col("n") > dense).select("fp").distinct().select(F.col("fp").alias("u"), F.explode(hubs(F.col("fp"), distance)).alias("hub"))
-    to = crowded.groupBy("hub").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").select("hub", "v")
-    hubbed = crowded.join(to, "hub").where("u <> v").select("u", "v")
-    return sparse.unionByName(hubbed).distinct()
+    placed = pts.select("fp", F.explode(keys).alias("c")).groupBy("c").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("c")
+    company = pts.select("fp", F.explode(keys).alias("c")).join(placed, "c", "left_semi").select("fp").distinct()
+    near = cut(company.select(F.col("fp").alias("u"), F.explode(between(F.col("fp"), distance)).alias("mid")))
+    least = near.groupBy("mid").agg(F.min("u").alias("v"))
+    pairs = near.join(least, "mid").where("u <> v").select("u", "v").distinct()
+    kept = cut(pairs.where(manhattan(counts(F.col("u")), counts(F.col("v"))) <= distance).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance))
+    drop(near)
+    return kept
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id reachable over links."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(links(nodes, distance)).withColumnRenamed("u", "fp")
-    named = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut(named.join(least, "root").select("fp", "component_id"))
+    edges = links(nodes, distance)
+    roots = components(edges).withColumnRenamed("u", "fp")
+    rooted = cut(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = cut(rooted.join(least, "root").select("fp", "component_id"))
+    drop(nodes, edges, roots, rooted)
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
