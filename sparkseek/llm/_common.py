@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.store import cut, drop, scratch, shared_dir
 from ..plans.views import table
 
-__all__ = ["cut", "drop", "partitions", "raw", "scratch", "shared_dir", "slices", "table"]
+__all__ = ["cut", "drop", "labelled", "partitions", "raw", "scratch", "shared_dir", "slices", "table"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -35,3 +36,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
 def raw(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each string; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def labelled(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, text), one row for each id of chosen (id, y; a bounded sample) that docs has: of several texts that with the smallest hash."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return one.select("id", "y", "x.text")
