@@ -142,15 +142,15 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("dense", [1, 3, 1000])
-def test_links_connect_all_near_prints(spark, dense):
+@pytest.mark.parametrize("distance", [0, 2, 4])
+def test_links_connect_all_near_prints(spark, distance):
     r = random.Random(5)
     centres = [r.getrandbits(64) for _ in range(30)]
     fps = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for c in centres for _ in range(25)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     from sparkseek.llm.components import components
 
-    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), dense=dense)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance, distance + 3)
     root = {x["u"]: x["root"] for x in components(edges).collect()}
     parent = {f: f for f in signed}
 
@@ -161,7 +161,7 @@ def test_links_connect_all_near_prints(spark, dense):
 
     for a in signed:
         for b in signed:
-            if ((a ^ b) % (1 << 64)).bit_count() <= 2:
+            if ((a ^ b) % (1 << 64)).bit_count() <= distance:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     assert {f: root.get(f, f) for f in signed} == {f: find(f) for f in signed}
@@ -177,7 +177,8 @@ def test_toxicity(spark, docs, empty):
     df = frame(spark, texts, False)
     model = toxicity.fit(df, known)
     assert list(model.cuts) == sorted(model.cuts)
-    got = {x["doc_id"]: x for x in toxicity.severity(df, model).collect()}
+    got = {x["doc_id"]: x for x in toxicity.severity(df.unionByName(df), model).collect()}
+    assert sorted(got.values()) == sorted(set(toxicity.severity(df, model).collect()))  # repeated rows agree
     assert all(got[i]["toxic"] == (i % 3 == 0) for i in range(300, 400))
     assert all(0 <= x["severity"] <= 3 for x in got.values())
     assert toxicity.severity(docs, model).count() == len(TEXTS)
@@ -186,6 +187,27 @@ def test_toxicity(spark, docs, empty):
     assert not any(x["toxic"] for x in toxicity.severity(df, nothing).collect())
 
 
+def test_likelihood_against_brute_force():
+    r = np.random.default_rng(3)
+    data = [(np.unique(r.integers(0, 12, 6)), None) for _ in range(40)]
+    data = [(at, r.random(len(at)) + 0.5) for at, _ in data]
+    grade, weight = r.integers(0, 4, 40), r.random(40) + 0.1
+    sample = toxicity.Sample(data)
+    theta = r.normal(size=len(sample.used) + 3)
+    value, grad = toxicity.likelihood(sample, grade, weight, theta, 0.01)
+    w, cuts = dict(zip(sample.used.tolist(), theta, strict=False)), toxicity.cuts_of(theta[-3:])
+    expect = 0.0
+    for (at, v), g, m in zip(data, grade, weight, strict=True):
+        z = sum(w[a] * x for a, x in zip(at.tolist(), v, strict=True))
+        reach = [1.0, *[1 / (1 + np.exp(c - z)) for c in cuts], 0.0]
+        expect += m * np.log(reach[g] - reach[g + 1]) / weight.sum()
+    assert value == pytest.approx(expect - 0.005 * sum(x * x for x in w.values()))
+    for i in range(len(theta)):
+        step = np.eye(len(theta))[i] * 1e-6
+        slope = (toxicity.likelihood(sample, grade, weight, theta + step, 0.01)[0] - toxicity.likelihood(sample, grade, weight, theta - step, 0.01)[0]) / 2e-6
+        assert grad[i] == pytest.approx(slope, abs=1e-6)
+
+
 # --- 4
 
 
@@ -341,6 +363,24 @@ def test_quality(spark, docs, empty):
     assert {r["score"] for r in quality.with_scores(docs, quality.fit(df, labels(spark, []))).collect()} == {0.5}
 
 
+def test_learned_rows_are_bounded(spark):
+    df, known = frame(spark, [(i % 5, prose(i, 20)) for i in range(300)], False), labels(spark, [(i, i % 2, i % 2) for i in range(5)])
+    assert len(quality.fit(df, known, sample=4).labels) == 4
+    assert toxicity.labels_of(df, known, "toxic", "doc_id", "text", 4)[1].shape == (4,)
+
+
+def test_equal_texts_score_equally_and_ties_go_to_smaller_ids():
+    r = np.random.default_rng(2)
+    vectors = np.repeat(r.normal(size=(200, 64)).astype(np.float32), 5, axis=0)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    model = quality.Model(np.ones(64, np.float32), np.eye(64, dtype=np.float32), vectors, r.integers(0, 2, 1000).astype(float), 7, 8.0)
+    rows_ = [(np.arange(64), r.normal(size=64)) for _ in range(300)]
+    whole = model.score(rows_)
+    assert [model.score([x])[0] for x in rows_] == whole.tolist() == model.score(rows_[::-1])[::-1].tolist()
+    cosines = np.array([[0.5, 0.9, 0.5, 0.5, 0.9, 0.1, 0.5, 0.9, 0.9, 0.5]])
+    assert model.nearest(cosines).tolist() == [[0, 1, 2, 3, 4, 7, 8]]
+
+
 def test_votes_are_exact():
     r = np.random.default_rng(0)
     vectors = r.normal(size=(50, 4)).astype(np.float32)
