@@ -397,7 +397,7 @@ def test_votes_are_exact():
 # --- 8
 
 
-@pytest.mark.parametrize("block", [1, 10**6])
+@pytest.mark.parametrize("block", [100, 10**6])
 def test_decontamination(spark, docs, empty, block):
     items = [("a", ITEM), ("b", "Alpha, beta GAMMA delta epsilon zeta eta theta"), ("c", "w1"), ("d", ""), ("e", None), (None, "w2"), ("a", "w3 w4 w5"), ("f", PASSAGE)]
     bench = spark.createDataFrame(items, "item_id string, text string")
@@ -422,6 +422,17 @@ def test_decontamination(spark, docs, empty, block):
     assert decontaminate.hits(decontaminate.matches(docs, bench.limit(0))).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_blocks_are_bounded_and_lists_are_not_scanned(spark):
+    words_ = [f"w{i}" for i in range(100)]
+    bench = spark.createDataFrame([("a", " ".join(words_)), ("b", " ".join(words_[50:]))], "item_id string, text string")
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 8, 80))
+    assert all(len(w) <= 10 for w, _ in blocks) and {x for w, names in blocks for x in names} == {"a", "b"}
+    windows = {(b"x", b"y", b"z", *(f"{i}{j}".encode() for j in range(5))): [0] for i in range(2000)}
+    index = decontaminate.Index(windows, {s: 1 + (s != b"x y z") for w in windows for s in decontaminate.shingles_of(w)})
+    assert index.prefixes == {b"x y z": [(0, 8)]}
+    assert index.search([b"x", b"y", b"z", *(f"7{j}".encode() for j in range(5)), b"x", b"y", b"z"]) == ([(0, 8)], {0})
+
+
 def test_hits_are_cut_out(spark):
     bench = spark.createDataFrame([("a", ITEM)], "item_id string, text string")
     df = frame(spark, [(1, "Keep, this. " + ITEM.title().replace(" ", ", ") + "! And that."), (2, "clean"), (3, None)], False)
