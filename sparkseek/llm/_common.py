@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.store import cut, drop, scratch, shared_dir
 from ..plans.views import table
 
-__all__ = ["cut", "drop", "labelled", "partitions", "raw", "scratch", "shared_dir", "slices", "table"]
+__all__ = ["cut", "drop", "labelled", "partitions", "raw", "scratch", "shared_dir", "slices", "table", "tidy"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -33,6 +35,16 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         start, floor = end, int(ends[end - 1])
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer needs back to the system: workers wait for their next task, and others share the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each string; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

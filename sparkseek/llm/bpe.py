@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import slices, tidy
 
 NONE = 1 << 62
 POSITION = (1 << 40) - 1
@@ -150,6 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for part in slices(batch, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([own.encode(t or "") for t in part.column("text").to_pylist()], pa.binary())], ["id", "ids"])
         own.forget()
+        tidy()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -167,5 +168,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
         for batch in batches:
             for part in slices(batch, ids_col, 2 << 20):
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array([own.decode(x or b"") for x in part.column(ids_col).to_pylist()], pa.binary())], [*names, "decoded"])
+        tidy()
 
     return kept.mapInArrow(run, kept.withColumn("decoded", F.lit(b"")).schema)

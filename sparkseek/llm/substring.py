@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, drop, partitions, raw, slices
+from ._common import cut, drop, partitions, raw, slices, tidy
 from .fmindex import FMIndex
 
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -134,6 +134,7 @@ def _find(window: int, gram: int):
                 places = pa.StructArray.from_arrays([pa.array(doc[other], pa.int64()), pa.array(at[other])], fields=list(PLACE))
                 others = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), places)
                 yield pa.RecordBatch.from_arrays([pa.array(mh[first].view(np.int64)), pa.array(ch[first].view(np.int64)), pa.array(doc[first], pa.int64()), pa.array(at[first]), pa.array(count[first].astype(np.int32)), others], ["mh", "ch", "doc", "at", "n", "others"])
+        tidy()
 
     return run
 
@@ -233,6 +234,7 @@ def _shard(window: int):
                 words = joined[i].split()[a : a + n + window - 1]
                 rows.append((r["doc"], r["at"] - r["off"], n, r["mh"], r["ch"], r["off"] + a, second_hash(b" ".join(words))))
         yield _batch(rows, REPORT)
+        tidy()
 
     return run
 
@@ -330,6 +332,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                     gone.append(len(words) - len(stay))
                     text.append(b" ".join(stay))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept"])
+        tidy()
 
     schema = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
     return rows.join(runs, "__doc", "left").select(*names, "__runs").mapInArrow(run, schema)
