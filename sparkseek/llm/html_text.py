@@ -6,10 +6,11 @@ whole body's C_b and LC_b, the composite density is
 
     C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LC_b / C_b * C + e))
 
-(zero divisors count as one): characters per tag, less where text is in links. A node's density sum adds the
+(zero divisors count as one, and so does a last divisor below one): characters per tag, less where text is in links. A node's density sum adds the
 densities of its children. The node with the largest sum is the core. The threshold is the least density
 on the path from the core up to the body: the core widens to the highest node on that path where a child beside the path
-reaches it, whatever lies between; an article or main element around the core is taken whole.
+reaches it, or where all that is beside it are headings, whatever lies between. Where the core then lies in an article or main element, that
+innermost one is taken: density chooses which.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by
 their elements and by the words in their class, id and role, before densities are computed; so are lists outside
@@ -27,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,8 +79,48 @@ def _kind(tag: str, attributes: str, in_article: bool) -> int:
     return kind
 
 
+class Stack:
+    """The open elements, outermost first; where[tag] has the places of those with a tag, blocks those of block elements.
+
+    So whether an element is open, and where, is known without a walk, however deep a page is.
+    """
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["body"]
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        self.where.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        """The innermost place of a tag; 0 if it isn't open."""
+        found = self.where.get(tag)
+        return found[-1] if found else 0
+
+    def cut(self, place: int) -> None:
+        """Ends the element at a place and all within it."""
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.where[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def end_within(self, names: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        """Ends the outermost open element of these names above the innermost stop."""
+        floor = max(map(self.last, stops))
+        above = [found[i] for found in (self.where.get(n, []) for n in names) if (i := bisect_right(found, floor)) < len(found)]
+        if above:
+            self.cut(min(above))
+
+
 class Page:
-    """Nodes in page order; 0 is the body. parts: texts (str) and children (int) of each node."""
+    """Nodes in page order; 0 is the body. parts: texts (str, decoded) and children (int) of each node."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.parts = ["body"], [-1], [[]]
@@ -91,14 +133,14 @@ class Page:
             self.code.append(self.code[p] or tag in ("pre", "code"))
 
     def _parse(self, source: str) -> None:
-        stack, at, find = [0], 0, _TOKEN.search
+        stack, at, find = Stack(), 0, _TOKEN.search
         while True:
             m = find(source, at)
+            text = source[at : m.start()] if m else source[at:]
+            if text:
+                self.parts[stack.nodes[-1]].append(html.unescape(text))
             if m is None:
-                self._text(stack, source[at:])
                 return
-            if m.start() > at:
-                self._text(stack, source[at : m.start()])
             at = m.end()
             if not m[2]:
                 continue
@@ -114,48 +156,25 @@ class Page:
                     at = end.end() if end else len(source)
                     self._close(stack, tag)
 
-    def _text(self, stack: list[int], text: str) -> None:
-        if text:
-            self.parts[stack[-1]].append(text)
-
-    def _pop(self, stack: list[int], names: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        """Ends the outermost open element of these names above the innermost stop."""
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[i]]
-            if tag in stops:
-                return
-            if tag in names:
-                del stack[i:]
-
-    def _open(self, stack: list[int], tag: str, attributes: str) -> None:
-        if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):  # a block ends the paragraph that is open around it
-                if self.tags[stack[i]] == "p":
-                    del stack[i:]
-                    break
-                if self.tags[stack[i]] in BLOCK:
-                    break
+    def _open(self, stack: Stack, tag: str, attributes: str) -> None:
+        if tag in BLOCK and stack.blocks and stack.tags[stack.blocks[-1]] == "p":
+            stack.cut(stack.blocks[-1])  # a block ends the paragraph that is open around it
         if tag in CLOSES:
-            self._pop(stack, CLOSES[tag], STOPS[tag])
-        parent, node = stack[-1], len(self.tags)
-        in_article = any(self.tags[i] == "article" for i in stack) if tag == "header" else False
+            stack.end_within(CLOSES[tag], STOPS[tag])
+        parent, node = stack.nodes[-1], len(self.tags)
         self.tags.append(tag)
         self.parents.append(parent)
         self.parts.append([])
-        self.kinds.append(_kind(tag, attributes, in_article))
+        self.kinds.append(_kind(tag, attributes, stack.last("article") > 0))
         self.parts[parent].append(node)
         if tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        inline = tag not in BLOCK
-        for i in range(len(stack) - 1, 0, -1):
-            open_ = self.tags[stack[i]]
-            if open_ == tag:
-                del stack[i:]
-                return
-            if inline and open_ in BLOCK:
-                return  # it was opened outside this block, or never
+            stack.push(node, tag)
+
+    def _close(self, stack: Stack, tag: str) -> None:
+        place = stack.last(tag)
+        # an inline element that was opened outside the innermost block isn't ended within it
+        if place and (tag in BLOCK or not stack.blocks or place > stack.blocks[-1]):
+            stack.cut(place)
 
     def measures(self) -> tuple[list[int], list[int], list[int], list[int]]:
         """Characters, tags, characters in links and tags in links below each node, without what is dropped."""
@@ -203,36 +222,39 @@ class Page:
             self._settle(links)
         return core
 
-    def _densest(self) -> int:
+    def _densities(self) -> list[float]:
         c, t, lc, lt = self.measures()
         base = lc[0] / max(1, c[0])
 
         def density(i: int) -> float:
             if self.dropped[i] or not c[i]:
                 return 0.0
-            per_tag = c[i] / max(1, t[i])
-            rest = math.log(max(1.0, c[i] / max(1, c[i] - lc[i]) * lc[i] + base * c[i]) + math.e)
-            return per_tag * math.log(max(1.0, c[i] / max(1, lc[i]) * max(1, t[i]) / max(1, lt[i])) + 1e-9) / max(1e-9, math.log(rest + 1e-9) if rest > math.e else 1.0)
+            wide = math.log(max(1.0, c[i] / max(1, c[i] - lc[i]) * lc[i] + base * c[i] + math.e))
+            return c[i] / max(1, t[i]) * math.log(max(1.0, c[i] / max(1, lc[i]) * max(1, t[i]) / max(1, lt[i]))) / max(1.0, math.log(wide))
 
-        n = len(self.tags)
-        each = [density(i) for i in range(n)]
-        total = [0.0] * n
-        for i in range(1, n):
+        return [density(i) for i in range(len(self.tags))]
+
+    def _core_of(self, each: list[float]) -> int:
+        """The node with the largest sum of its children's densities; the first of equals."""
+        total = [0.0] * len(each)
+        for i in range(1, len(each)):
             total[self.parents[i]] += each[i]
-        core = max(range(n), key=lambda i: (total[i], -i))
-        if not total[core]:
-            return 0
-        for i in self._up(core):
-            if self.tags[i] in ("article", "main"):
-                return i
+        return max(range(len(each)), key=lambda i: (round(total[i], 6), -i))
+
+    def _densest(self) -> int:
+        each = self._densities()
+        core = node = self._core_of(each)
         least = min(each[i] for i in self._up(core))
-        node = core
         while node:
             parent = self.parents[node]
-            if any(isinstance(x, int) and x != node and each[x] >= least > 0 for x in self.parts[parent]):
+            beside = [x for x in self.parts[parent] if isinstance(x, int) and x != node and each[x] > 0]
+            dense = [x for x in beside if each[x] >= least]
+            titles = [x for x in beside if self.tags[x] in HEADINGS]
+            if dense or titles and len(titles) == len(beside):
                 core = parent
             node = parent
-        return core
+        # an element that says it is the article has what is less dense in it, such as its title
+        return next((i for i in self._up(core) if self.tags[i] in ("article", "main")), core)
 
     def _up(self, node: int) -> Iterator[int]:
         while node >= 0:
@@ -244,7 +266,7 @@ class Page:
         now: list[str] = []
 
         def end() -> None:
-            text = " ".join(html.unescape("".join(now)).split())
+            text = " ".join("".join(now).split())
             if text:
                 out.append(text)
             now.clear()
