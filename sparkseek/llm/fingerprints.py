@@ -8,15 +8,15 @@ text has at least one paragraph, maybe an empty one). Each paragraph becomes a w
   shingle of up to three words that begins there, added up;
 * one count lane: the number of those shingles.
 
-A fingerprint is the lane-wise sum modulo 2**32. Addition commutes, so the order of paragraphs
-doesn't matter, and `combine` adds or takes away paragraphs without the rest of the text.
+A fingerprint is the lane-wise sum modulo 2**32, of every lane. Addition commutes, so the order of paragraphs
+doesn't matter, and `combine` adds or takes away paragraphs without the rest of the text, in any order.
 
 Likeness is the cosine of the two documents' signed likeness lanes, which estimates the cosine of
 their shingle counts with a standard error of about 0.09; below zero counts as zero, and equal
 fingerprints give exactly 1.
 
-Rows with a null id come after all others; rows that agree in id and text are interchangeable;
-an empty table gives an empty result; other columns are ignored. A single row is its own neighbour.
+Rows with a null id come after all others; rows that share an id are ordered by a hash of their texts, then by the texts, and those that agree
+in both are interchangeable; an empty table gives an empty result; other columns are ignored. A single row is its own neighbour.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ._common import partitions
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 LANE = 0xFFFFFFFF
+NULL = -(1 << 63)  # stands for a null id in the order of ids
 EQUALITY, LIKENESS = 4, 2  # 64-bit hashes of a paragraph; of a shingle
 
 
@@ -38,7 +39,7 @@ def _lane_names() -> list[str]:
 def sums(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row for each value of keys with the sums `e..`, `s..` and `n` over the text's paragraphs.
 
-    An `s` sum holds two lanes of 32 bits, which 2**31 shingles would fill.
+    An `s` sum holds two lanes of 32 bits, which 2**32 shingles would fill; a text has fewer than 2**31 characters.
     """
     paragraphs = df.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_p"))
     words = F.filter(F.split("_p", WORD_BREAK), lambda w: w != "")
@@ -70,9 +71,10 @@ def as_text(vector: Column) -> Column:
 
 def combine(left: Column, right: Column, sign: int = 1) -> Column:
     """The vector of the paragraphs of both (sign 1), or of left without those of right (sign -1)."""
-    apart = lambda x, y, i: F.when(i < 2 * EQUALITY, F.pmod(x + sign * y, F.lit(LANE + 1))).otherwise(x + sign * y)
-    zipped = F.zip_with(left, right, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return F.transform(zipped, lambda z, i: apart(z["x"], z["y"], i))
+    one = lambda x, y: F.pmod(x + sign * y, F.lit(LANE + 1))
+    low, high = lambda x: x.bitwiseAND(F.lit(LANE)), lambda x: F.shiftrightunsigned(x, 32)
+    # a likeness entry holds two lanes, and neither borrows from the other
+    return F.zip_with(left, right, lambda x, y: F.shiftleft(one(high(x), high(y)), 32).bitwiseOR(one(low(x), low(y))))
 
 
 def _signed(vector: Column) -> Column:
@@ -119,28 +121,37 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_p
     The neighbour is the next document in descending id (of the last: the first). The edited text has
     its last floor(n / 2) code points replaced by the neighbour's first as many, or all it has.
 
-    Neighbours are found in ranges of ids, cut at quantiles, so no task sees all documents; each range
-    also gets the first document of the next range. Everything is computed where that one exchange
-    puts the rows.
+    Neighbours are found in ranges of ids, cut at quantiles, so no task sees all documents; an id (or null) that fills
+    several ranges is cut by the hash of the texts. Each range also gets the first document of the next range. Everything is
+    computed where that one exchange puts the rows.
     """
     spark = docs.sparkSession
-    df = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    df = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), F.col(id_col).isNull().alias("_null"))
+    df = df.withColumn("_h", F.xxhash64("_t"))
     ranges = per_partition * partitions(spark)
-    cuts = sorted({int(c) for c in df.select("_id").where("_id is not null").approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)})
-    df = df.withColumn("_r", F.when(F.col("_id").isNull(), F.lit(len(cuts) + 1)).otherwise(len(cuts) - _at_most(cuts, F.col("_id"))).cast("int"))
-    # a range's first document: largest id, then smallest text; one number for each range comes to the driver
+    found = [int(c) for c in df.approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)]
+    parts = {c: found.count(c) for c in found}  # how many ranges' rows an id has
+    cuts = sorted({*found, *(c + 1 for c, n in parts.items() if n > 1 and c + 1 < -NULL)})
+    # ranges in descending order: from the last cut down; the one of an id with several ranges' rows is cut in as many by the hash
+    many = [parts.get(c, 1) for c in reversed(cuts)] + [1]
+    before = [sum(many[:i]) for i in range(len(many))]
+    place = (len(cuts) - _at_most(cuts, F.col("_id"))).cast("int")
+    share = F.floor(F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(NULL)), 32) * F.get(_numbers(many), place) / F.lit(LANE + 1))
+    df = df.withColumn("_r", (F.get(_numbers(before), place) + share).cast("int"))
+    # a range's first document: largest id, then smallest hash and text; one number for each range comes to the driver
     heads = {row["_r"]: row["_top"] for row in df.groupBy("_r").agg(F.max("_id").alias("_top")).collect()}
     pairs = df.withColumn("_ghost", F.lit(False))
     if heads:
         order = sorted(heads)
-        before = {r: order[i - 1] for i, r in enumerate(order)}  # what comes before the first range is the last
-        tops = F.get(_numbers([heads.get(r) or 0 for r in range(order[-1] + 1)]), F.col("_r"))
-        back = F.get(_numbers([before.get(r, 0) for r in range(order[-1] + 1)]), F.col("_r")).cast("int")
-        top = df.where(F.col("_id").isNull() | (F.col("_id") == tops))
-        ghosts = top.groupBy("_r", "_id").agg(F.min("_t").alias("_t")).select("_id", "_t", back.alias("_r"), F.lit(True).alias("_ghost"))
+        previous = {r: order[i - 1] for i, r in enumerate(order)}  # what comes before the first range is the last
+        tops = F.get(_numbers([heads.get(r, 0) for r in range(order[-1] + 1)]), F.col("_r"))
+        back = F.get(_numbers([previous.get(r, 0) for r in range(order[-1] + 1)]), F.col("_r")).cast("int")
+        first = df.where(F.col("_id") == tops).groupBy("_r", "_id", "_null").agg(F.min(F.struct("_h", "_t")).alias("_x"))
+        ghosts = first.select("_id", F.col("_x._t").alias("_t"), "_null", F.col("_x._h").alias("_h"), back.alias("_r"), F.lit(True).alias("_ghost"))
         pairs = pairs.unionByName(ghosts)
-    w = Window.partitionBy("_r").orderBy("_ghost", F.col("_id").desc_nulls_last(), "_t")
-    rows = pairs.select("*", F.row_number().over(w).alias("_k"), F.lead("_t").over(w).alias("_next"))
+    w = Window.partitionBy("_r").orderBy("_ghost", F.col("_id").desc(), "_null", "_h", "_t")
+    pairs = pairs.select("*", F.row_number().over(w).alias("_k"), F.lead("_t").over(w).alias("_next"))
+    rows = pairs.withColumn("_id", F.when(~F.col("_null"), F.col("_id")))
     half = F.floor(F.length("_t") / 2).cast("int")
     edited = F.concat(F.substring(F.col("_t"), F.lit(1), F.length("_t") - half), F.substring(F.col("_next"), F.lit(1), half))
     both = rows.select("_r", "_k", "_id", "_ghost", F.length("_t").cast("long").alias("n_chars"), F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("_t").alias("t")), F.struct(F.lit(1).alias("v"), F.when(~F.col("_ghost"), edited).alias("t")))).alias("_x"))

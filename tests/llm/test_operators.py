@@ -109,6 +109,26 @@ def test_edits_of_many_ranges(spark):
     assert np.mean([r["near_edited"] - r["near_next"] for r in got.values()]) > 0.25
 
 
+@pytest.mark.parametrize("ids", [[None] * 200, [5] * 150 + list(range(50)), [None] * 100 + [3] * 100 + [None, 3, 9]])
+def test_edits_of_a_hot_id(spark, ids):
+    texts = [(i, prose(n, 1 + n % 40) + f" {n}") for n, i in enumerate(ids)]
+    key = lambda x: (x[0] is None, -(x[0] or 0), xxhash64_of[x[1]], x[1])
+    df = frame(spark, texts, False).repartition(4)
+    xxhash64_of = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(texts, key=key)
+    expect = [(i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()) for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True)]
+    got = fingerprints.edits(df, per_partition=5)
+    assert rows(got.select("doc_id", "n_chars", "edited_sha256")) == sorted(expect, key=repr)
+
+
+def test_lanes_wrap_by_themselves(spark):
+    got = {r["doc_id"]: r["vector"] for r in fingerprints.fingerprint(frame(spark, [(1, "a b c"), (2, "d e f g"), (3, "a b c\nd e f g")], False)).collect()}
+    df = spark.createDataFrame([(got[1], got[2], got[3])], "a array<long>, b array<long>, c array<long>")
+    away = fingerprints.combine(F.col("a"), F.col("c"), -1)  # paragraphs that aren't there are taken away first
+    assert df.select(fingerprints.combine(away, F.col("c")).alias("x")).first()["x"] == got[1]
+    assert df.select(fingerprints.combine(fingerprints.combine(F.col("c"), F.col("b"), -1), F.col("a"), -1).alias("x")).first()["x"] == [0] * len(got[1])
+
+
 def test_fingerprints_add_up(spark):
     a, b = "one two three four\nfive six", "seven\neight nine ten eleven"
     got = {r["doc_id"]: r["vector"] for r in fingerprints.fingerprint(frame(spark, [(1, a), (2, b), (3, b + "\n" + a)], False)).collect()}
@@ -461,6 +481,65 @@ def test_main_text():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_pages_of_any_shape_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for page in ("<b>" * n + "</i>" * n, "<i><p>" + "<b>" * n + "</i>" * n, "<header>" * n, "<li><b>" * n, "<dl>" * n + "<dt>" * n, "<div>" * n + "</p>" * n, "<p><span>" * n):
+            html_text.main_text(page + "text")
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 16 * max(0.05, took(2_000))
+
+
+def test_main_text_without_an_article_is_the_densest_part():
+    some = [prose(i, 60) for i in range(8)]
+    links = "<div class=left><ul>" + "<li><a href=x>some link</a> and</li>" * 20 + "</ul></div>"
+    short = "<div class=top><div><p>Call now</p><p>Open till six</p><p><a href=x>More</a></p></div></div>"
+    body = "".join(f"<p>{t}</p>" for t in some)
+    for holder in ("div", "section", "td"):
+        assert html_text.main_text(f"{short}<{holder}>{body}</{holder}>{links}") == "\n".join(some)
+
+
+def brute_densest(page):
+    """The node of the largest density sum, each measured by a walk of its own."""
+    inside = lambda i: [i] if page.dropped[i] else [i, *(k for x in page.parts[i] if isinstance(x, int) for k in inside(x))]
+    chars = lambda i: sum(len(" ".join(x.split())) for x in page.parts[i] if isinstance(x, str)) if not page.dropped[i] else 0
+
+    def linked(i):
+        return i >= 0 and (page.tags[i] == "a" or linked(page.parents[i]))
+
+    def measure(i):
+        nodes = [k for k in inside(i) if not page.dropped[k]]
+        return sum(map(chars, nodes)), len([k for k in nodes if k != i]), sum(chars(k) for k in nodes if linked(k)), len([k for k in nodes if k != i and page.tags[k] == "a"])
+
+    c0, _, l0, _ = measure(0)
+
+    def density(i):
+        c, t, lc, lt = measure(i)
+        if page.dropped[i] or not c:
+            return 0.0
+        wide = np.log(c / max(1, c - lc) * lc + l0 / max(1, c0) * c + np.e)
+        return c / max(1, t) * np.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / max(1.0, np.log(wide))
+
+    each = [density(i) for i in range(len(page.tags))]
+    total = [sum(each[x] for x in p if isinstance(x, int)) for p in page.parts]
+    return max(range(len(total)), key=lambda i: (round(total[i], 6), -i))
+
+
+@pytest.mark.parametrize("source", [PAGE, f"<div><p>{prose(1, 30)}</p><p>{prose(2, 50)}</p><div><p>{prose(3, 9)}</p></div></div><ul><li><a>x y</a><li><a>z</a></ul>"])
+def test_density_sums_against_brute_force(source):
+    page = html_text.Page(source)
+    page._settle([False] * len(page.tags))
+    assert page._core_of(page._densities()) == brute_densest(page)
+
+
+def test_references_are_decoded_in_their_own_text():
+    assert html_text.main_text(f"<article><p>{prose(1, 30)}</p><p>a&<b>lt;</b>b</p></article>").split("\n")[1] == "a&lt;b"
+
+
 def test_main_text_of_wrapped_sections():
     some = [prose(i, 30) for i in range(25)]
     links = "<div><ul>" + "<li><a href=x>some link here</a> more</li>" * 30 + "</ul></div>"
