@@ -119,16 +119,23 @@ def _members(code: str, start: int, end: int) -> Iterator[tuple[int, int, int, i
         i += 1
 
 
-def code(text: str, budget: int = BUDGET) -> list[Piece] | None:
-    """Members up to the budget, neighbours merged within it; containers that exceed it are entered. None without any block."""
+def code(text: str, budget: int = BUDGET, top: bool = False) -> list[Piece] | None:
+    """Members up to the budget, neighbours merged within it; containers that exceed it are entered. None without any block.
+
+    top: statements and directives of the file itself are members too (prototypes, aliases, globals, what follows the last block).
+    """
     quiet = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     found: list[tuple[int, int]] = []
     work = [(0, len(text))]
     while work:
         a, b = work.pop()
-        for x, y, inner, stop in _members(quiet, a, b):
+        members = list(_members(quiet, a, b))
+        rest = members[-1][1] if members else 0
+        if top and not a and quiet[rest:].strip():
+            members.append((rest, len(text), -1, -1))
+        for x, y, inner, stop in members:
             x += len(quiet[x:y]) - len(quiet[x:y].lstrip())
-            if inner < 0 and not re.match(r"\s*(?:using|#|namespace|import)", quiet[x:y]) and a:
+            if inner < 0 and (top and not a or a and not re.match(r"\s*(?:using|#|namespace|import)", quiet[x:y])):
                 found.append((x, y))
             elif inner >= 0:
                 if y - x > budget and any(s >= 0 for _, _, s, _ in _members(quiet, inner, stop)):
@@ -175,7 +182,7 @@ def _locator(language: str | None, path: tuple[str, ...]) -> dict | None:
 
 def pieces_of(text: str, lines: list[str], kind: str | None) -> list[Piece]:
     """By structure where there is one, else by line windows."""
-    found = pages(lines) if kind == "pdf" else markdown(text) if kind == "markdown" else code(text) if kind in ("csharp", "cpp") else None
+    found = pages(lines) if kind == "pdf" else markdown(text) if kind == "markdown" else code(text, top=kind == "cpp") if kind in ("csharp", "cpp") else None
     return found if found is not None else [(a, b, ()) for a, b in windows(1, len(lines))] if lines else []
 
 

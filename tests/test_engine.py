@@ -133,6 +133,10 @@ def test_markdown_and_code():
     pieces = markup.code(source, 80)
     assert len(pieces) > 5 and pieces == sorted(pieces)
     assert markup.code("// only a comment") is None
+    header = "#include <a>\nint f(int x);\ntypedef int T;\nusing U = int;\nextern int g;\n\nclass A {\n  void m() { int y; }\n};\nint h();\n#define LAST 1\n"
+    covered = lambda pieces: {n for a, b, _ in pieces for n in range(a, b + 1)}
+    assert covered(markup.code(header, 40, top=True)) >= {1, 2, 3, 4, 5, 7, 8, 9, 10, 11}
+    assert 2 not in covered(markup.code(header, 40))
 
 
 def test_ignores():
