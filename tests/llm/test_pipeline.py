@@ -143,3 +143,17 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], table(spark, DIR, "documents").schema)
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect()]
     assert sorted(got, key=repr) == sorted([(1, a), (1, b), (None, c), (3, "")], key=repr)
+
+
+def test_rows_that_resemble_some_of_a_large_group_join_it(spark, monkeypatch):
+    r, turns, some = random.Random(5), [], near_copies._some_across
+    monkeypatch.setattr(near_copies, "PARTNERS", 2)
+    monkeypatch.setattr(near_copies, "_some_across", lambda rows, turn: turns.append(turn) or some(rows, turn))
+    base = [f"w{i}" for i in range(150)]
+    texts = [changed(r, base, r.choice([1, 1, 2, 3, 4])) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {}
+    for x in near_copies.groups(docs).collect():
+        found.setdefault(x["root"], set()).add(x["id"])
+    assert sorted(map(sorted, found.values())) == brute_groups(texts)
+    assert turns
