@@ -6,10 +6,11 @@ Jaccard similarity is at least 4/5. No distance of fingerprints decides that: at
 bits differ on average, and a pair may differ in any number. So fingerprints only propose, and what they miss
 is found by prefixes:
 
-1. Equal sets are one node. All shingles have one total order, rare ones first: by their count in a sample of
-   texts, then by value (the sample bears on speed only). Two sets of n and m shingles that are similar share
+1. Equal sets are one node. All shingles have one total order, rare ones first: by the number of nodes that have
+   them, counted over all texts, then by value. Two sets of n and m shingles that are similar share
    one of their first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1. A cell holds the nodes that have one
-   shingle there; cells of one node are dropped.
+   shingle there; cells of one node are dropped. Shingles of one node come first and are only counted. The counting
+   takes rounds, each for a share of the shingles by value, so that only this share is on disk at once.
 2. Cheap pairs, in proportion to the nodes: SimHash links within two bits, and in each cell its nodes in a
    random order, each with the one before it and with the first. They are compared exactly and those that
    are similar form components, so that a large group of near copies needn't be paired.
@@ -39,12 +40,13 @@ from . import simhash
 from ._common import cut, drop, raw, slices, tidy
 from .components import components
 
-SAMPLE, OFTEN, MOST_COMMON, BROADCAST, PARTNERS = 16_000, 3, 100_000, 2_000_000, 24
+BROADCAST, PARTNERS, ROUNDS = 2_000_000, 24, 3
+SAMPLE = 16_000  # rows of which all shingles are counted in one round; more take ROUNDS
 
 
-def first_places(n: int) -> int:
+def _first_places(n: Column) -> Column:
     """How many of n shingles in order hold one that any similar set shares."""
-    return n - (4 * n + 4) // 5 + 1 if n else 0
+    return n - F.floor((4 * n + 4) / 5) + 1
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -64,26 +66,21 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _nodes(shingle: int, common: np.ndarray, times: np.ndarray):
-    """id, h, node, fingerprint, size, shingles by leading byte and the first places of each text; common: ascending, counted in times."""
+def _nodes(shingle: int):
+    """id, h, node, fingerprint, size and shingles by leading byte of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                nodes, prints, sketches, sizes, heads = [], [], [], [], []
+                nodes, prints, sketches, sizes = [], [], [], []
                 for text in raw(part.column("text")):
                     blocks = list(simhash.hashed(text, shingle))
                     own = _set(blocks)
-                    count = np.zeros(len(own), np.int64)
-                    if len(common):
-                        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                        count = np.where(common[at] == own, times[at], 0)
                     nodes.append(_node(own))
                     prints.append(simhash.majority(blocks))
                     sketches.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                     sizes.append(len(own))
-                    heads.append(own[np.argsort(count, kind="stable")[: first_places(len(own))]])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), _signed(nodes), _signed(prints), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), _lists(heads)], ["id", "h", "node", "fp", "n", "sketch", "heads"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), _signed(nodes), _signed(prints), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], ["id", "h", "node", "fp", "n", "sketch"])
         tidy()
 
     return run
@@ -102,6 +99,41 @@ def _sets(shingle: int):
     return run
 
 
+def _shingles(shingle: int, turn: int, rounds: int):
+    """node and shingle, a row for each of a text's shingles that are the turn's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [_set(list(simhash.hashed(text, shingle))) for text in raw(part.column("text"))]
+                mine = [own[(own >> np.uint64(32)) % np.uint64(rounds) == turn] for own in sets]
+                nodes = np.repeat(np.array([_node(x) for x in sets], np.uint64), [len(x) for x in mine])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(np.concatenate(mine).view(np.int64))], ["node", "s"])
+        tidy()
+
+    return run
+
+
+def _shared(rows: DataFrame, shingle: int) -> list[DataFrame]:
+    """(node, s, k) of each node's shingles that other nodes have too; k: the nodes that have it."""
+    rounds, here = ROUNDS if rows.count() > SAMPLE else 1, Window.partitionBy("s")
+    out = []
+    for turn in range(rounds):
+        every = rows.mapInArrow(_shingles(shingle, turn, rounds), "node long, s long")
+        once = every.withColumn("was", F.lag("node").over(here.orderBy("node"))).where("was is null or was <> node")
+        out.append(cut(once.withColumn("k", F.count("*").over(here)).where("k > 1").select("node", "s", "k")))
+    return out
+
+
+def _first(shared: list[DataFrame], sizes: DataFrame) -> DataFrame:
+    """(s, x) of the shared shingles in each node's first places; x: node, size and place."""
+    own, n, rows = Window.partitionBy("node"), F.col("n"), shared[0]
+    for more in shared[1:]:
+        rows = rows.unionByName(more)
+    placed = rows.withColumns({"i": F.row_number().over(own.orderBy("k", "s")), "k": F.count("*").over(own)}).join(sizes, "node").withColumn("at", (n - F.col("k") + F.col("i") - 1).cast("int"))
+    return placed.where(F.col("at") < _first_places(n)).select("s", F.struct("node", "n", "at").alias("x"))
+
+
 def _similar(shared: Column, n: Column, m: Column) -> Column:
     """Whether shared / (n + m - shared) reaches 4/5."""
     return 9 * shared >= 4 * (n + m)
@@ -188,18 +220,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """(id, h, root) of every row: h is the text's xxhash64, root is equal for rows that near copies connect."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    every = max(1, rows.count() // SAMPLE)
-    sample = rows.where(F.pmod("h", F.lit(every)) == 0).mapInArrow(_sets(shingle), "node long, n int, shingles array<long>").dropDuplicates(["node"])
-    often = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN).orderBy(F.desc("k"), "s").limit(MOST_COMMON).collect()
-    common, times = np.array([r["s"] for r in often], np.int64).view(np.uint64), np.array([r["k"] for r in often], np.int64)
-    order = np.argsort(common)
-    made = cut(rows.mapInArrow(_nodes(shingle, common[order], times[order]), "id long, h long, node long, fp long, n int, sketch binary, heads array<long>"))
+    made = cut(rows.mapInArrow(_nodes(shingle), "id long, h long, node long, fp long, n int, sketch binary"))
 
     one = cut(made.groupBy("node").agg(F.min(F.struct("id", "h")).alias("x")))
-    at = made.select("node", "n", F.posexplode("heads").alias("at", "s"))
-    here = Window.partitionBy("s")
-    cells = at.withColumns({"lo": F.min("node").over(here), "hi": F.max("node").over(here)}).where("lo <> hi").select("s", F.struct("node", "n", "at").alias("x"))
-    cells = cut(cells.distinct())
+    shared, here = _shared(rows, shingle), Window.partitionBy("s")
+    cells = cut(_first(shared, made.select("node", "n").distinct()).withColumn("k", F.count("*").over(here)).where("k > 1").select("s", "x"))
+    drop(*shared)
     mixed = here.orderBy(F.xxhash64("s", "x.node"), "x.node")
     beside = cells.select("x", F.array(F.lag("x").over(mixed), F.first("x").over(mixed)).alias("y")).select("x", F.explode("y").alias("y")).where(_possible("x", "y"))
     near = _verified(_proposed(made).unionByName(beside.select(*_ordered(F.col("x.node"), F.col("y.node")))), rows, made, one, shingle)

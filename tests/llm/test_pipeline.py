@@ -157,3 +157,14 @@ def test_rows_that_resemble_some_of_a_large_group_join_it(spark, monkeypatch):
         found.setdefault(x["root"], set()).add(x["id"])
     assert sorted(map(sorted, found.values())) == brute_groups(texts)
     assert turns
+
+
+def test_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    """Texts that share a third of their shingles with nine others have enough that nobody else has: nothing is compared."""
+    compared, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "SAMPLE", 5)
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: compared.append(pairs.where("u <> v").count()) or verified(pairs, *rest))
+    texts = [" ".join([f"own{i}x{j}" for j in range(70)] + [f"of{i // 10}x{j}" for j in range(30)]) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len({x["root"] for x in near_copies.groups(docs).collect()}) == 200
+    assert sum(compared) == 0
