@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +47,27 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), _pattern(TOKEN), F.lit(0)), split_identifier))
 
 
+def counter() -> Callable[[str], Counter[str]]:
+    """What counts the tokens of a text in Python: those of tokenize, in any order."""
+    words, camel = re.compile(TOKEN).findall, re.compile(CAMEL).findall
+
+    @lru_cache(100_000)
+    def split(token: str) -> tuple[str, ...]:
+        low = token.lower()
+        parts = [p for p in low.split("_") if p] if "_" in token else [p.lower() for p in camel(token)]
+        return (low, *parts) if len(parts) >= 2 else (low,)
+
+    def count(text: str) -> Counter[str]:
+        found = Counter(words(text))
+        for token in [t for t in found if not (t.isalpha() and t.islower())]:
+            n = found.pop(token)
+            for part in split(token):
+                found[part] += n
+        return found
+
+    return count
+
+
 def keywords(query: Column) -> Column:
     """Distinct lower-case words over two characters that aren't stop words, in order."""
     words = F.regexp_extract_all(F.coalesce(query, F.lit("")), _pattern(TOKEN), F.lit(0))

@@ -40,7 +40,7 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
-        return self._part("postings", lambda path: sparse.build(sparse.tokens(self.chunks), self.chunks.count(), path))
+        return self._part("postings", lambda path: sparse.build(sparse.occurrences(self.chunks), self.chunks.count(), path))
 
     @property
     def vectors(self) -> DataFrame:

@@ -54,7 +54,7 @@ def _kept(spark: SparkSession, sf_dir: str, what: str, write: Callable[[str], Da
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    return lambda path: sparse.build(sparse.tokens(views.chunks(spark, sf_dir)), views.table(spark, sf_dir, "documents").count(), path)
+    return lambda path: sparse.build(sparse.occurrences(views.chunks(spark, sf_dir)), views.table(spark, sf_dir, "documents").count(), path)
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,13 +184,13 @@ def resolve_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {_BM25} SELECT term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, n")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = sparse.tokens(views.chunks(spark, sf_dir))
-    return sparse.term_stats(sparse.postings(t), sparse.corpus(t)).select("term", "df", r6("idf").alias("idf"))
+    own = views.chunks(spark, sf_dir)
+    return sparse.term_stats(sparse.occurrences(own), own.agg(F.count("*").alias("n"))).select("term", "df", r6("idf").alias("idf"))
 
 
 @register(f"WITH {_BM25} SELECT term, chunk_id, tf::BIGINT AS tf FROM p")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.postings(sparse.tokens(views.chunks(spark, sf_dir)))
+    return sparse.postings(sparse.occurrences(views.chunks(spark, sf_dir)))
 
 
 @register(f"WITH {_BM25} SELECT chunk_id, len(tokens)::BIGINT AS dl FROM k")
