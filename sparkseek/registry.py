@@ -423,9 +423,7 @@ pt AS (SELECT query_id, rank, sum(tok) OVER z AS cum, sum(hit::INTEGER) OVER z A
 def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     relevant = _relevant(spark, sf_dir)
     index = _index(spark, sf_dir)
-    found = sparse.search(index, views.queries(spark, sf_dir), 50)
-    sizes = index.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max("dl").alias("tokens"))
-    found = found.join(sizes, "chunk_id")
+    found = sparse.search(index, views.queries(spark, sf_dir), 50, dl=True).withColumnRenamed("dl", "tokens")
     marked = found.join(relevant.withColumn("target_id", F.col("chunk_id")), ["query_id", "chunk_id"], "left")
     return evaluate.curves(marked), relevant.groupBy("query_id").agg(F.count("*").alias("n_targets"))
 
