@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -11,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grep_keywords as grep_words
+from ..plans.views import WORD, windows
 
 MOST_MATCHES = 500
 BUDGETS = (500, 1000, 2000, 4000, 8000, 16000, 32000)
 CAP = 32000
+WINDOWS_SENT = 200_000  # windows of queries that are sent to every executor at most; more are joined by a shuffle
+ROWS_OUT = 50_000  # rows that a task holds in Python before they go on
 
 
 def category(query: Column) -> Column:
@@ -58,7 +62,38 @@ def tokens_to_first_hit(points: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.where("n_targets > 0").join(hit, "query_id", "left").select("query_id", F.coalesce("t", F.lit(CAP)).cast("long").alias("tokens"))
 
 
-def matching_lines(files: DataFrame, patterns: DataFrame, text: str = "content", block: int = 50_000) -> DataFrame:
+def sharing(texts: DataFrame, queries: DataFrame, n: int, sent: int = WINDOWS_SENT) -> DataFrame:
+    """(query_id, chunk_id), once each, of texts (chunk_id, content) that have any n consecutive words of a query (query_id, query).
+
+    Windows of a bounded set of queries are looked up where the texts are read, after their first two words; nothing but hits is shuffled.
+    """
+    asked = windows(queries, "query_id", "query", n)
+    if n < 2 or asked.count() > sent:
+        return windows(texts, "chunk_id", "content", n).join(asked, "window").select("query_id", "chunk_id").distinct()
+    known: dict[str, list[int]] = defaultdict(list)
+    for r in asked.toLocalIterator():
+        known[r["window"]].append(r["query_id"])
+    shared = texts.sparkSession.sparkContext.broadcast((dict(known), {tuple(w.split(" ", 2)[:2]) for w in known}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (known, starts), words_of = shared.value, re.compile(WORD).findall
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["query_id", "chunk_id"])
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for chunk, content in zip(batch.column("chunk_id").to_pylist(), batch.column("content"), strict=True):
+                words = words_of(content.as_py() or "")
+                at = [i for i, two in enumerate(zip(words, words[1:], strict=False)) if two in starts]
+                out += [(q, chunk) for q in {q for i in at for q in known.get(" ".join(words[i : i + n]), ())}]
+                if len(out) >= ROWS_OUT:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
+
+    return texts.select("chunk_id", "content").mapInArrow(run, "query_id long, chunk_id long").distinct()
+
+
+def matching_lines(files: DataFrame, patterns: DataFrame, text: str = "content", block: int = 50_000, rows_out: int = ROWS_OUT) -> DataFrame:
     """(pattern, file_path, n) of the lines that contain each pattern (column pattern, lower-case) anywhere, in any case.
 
     Patterns are a query set; in blocks, one automaton holds them all, and every text runs through it once where it is read.

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +55,7 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, window) of every run of n words of the texts, once for each key."""
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
     rows = df.select(key, words.alias("_w")).where(F.size("_w") >= n)
     runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
     return rows.select(key, F.explode(F.array_distinct(runs)).alias("window"))

@@ -399,9 +399,8 @@ _RELEVANT = f"r AS (SELECT DISTINCT b.id::BIGINT AS query_id, d.id AS chunk_id F
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = views.windows(views.queries(spark, sf_dir), "query_id", "query", RUN)
-    found = views.windows(views.chunks(spark, sf_dir), "chunk_id", "content", RUN).join(asked, "window").select("query_id", "chunk_id").distinct()
-    return _kept(spark, sf_dir, "relevant", lambda path: store.written(found, path))
+    found = lambda: evaluate.sharing(views.chunks(spark, sf_dir), views.queries(spark, sf_dir), RUN)
+    return _kept(spark, sf_dir, "relevant", lambda path: store.written(found(), path))
 
 
 @register(f"WITH {_CHUNKS}, {_RELEVANT} SELECT query_id, chunk_id FROM r")

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from sparkseek.operators import sparse
+from sparkseek.operators import evaluate, sparse
 
 TEXTS = ["def getHTTPResponse my_func my_func _foo", "Plain words plain", None, "", "ÄÖ straße x1 abc123 ABC __ a_b_", "plain plain two"]
 
@@ -54,3 +54,14 @@ def test_scores_shuffle_postings_not_pairs(spark, tmp_path):
     few = spark.createDataFrame([(1,), (5,)], "chunk_id long")
     assert rows(sparse.scores(index, asked, few), "query_id", "chunk_id", "score") == [r for r in rows(found, "query_id", "chunk_id", "score") if r[1] in (1, 5)]
     assert not pairs_shuffled(sparse.scores(index, asked, few))
+
+
+def test_shared_windows_are_found_where_texts_are_read(spark):
+    words = "a b c d e f g h i j".split()
+    asked = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[1:])), (3, "a b c"), (4, None)], "query_id long, query string")
+    own = texts(spark, [" ".join(words), "x y\n" + "\t".join(words[1:9]), "a b c d e f g", None, "", " ".join(words * 3)])
+    own = own.unionByName(own.where("chunk_id = 0"))
+    found = evaluate.sharing(own, asked, 8)
+    assert rows(found, "query_id", "chunk_id") == [(1, 0), (1, 1), (1, 5), (2, 0), (2, 1), (2, 5)] == rows(evaluate.sharing(own, asked, 8, sent=0), "query_id", "chunk_id")
+    assert "window" not in plan(found)
+    assert evaluate.sharing(own, asked.where("query_id = 3"), 8).count() == 0
