@@ -110,16 +110,26 @@ def matching_lines(files: DataFrame, patterns: DataFrame, text: str = "content",
                 machine.add_word(p, p)
             machine.make_automaton()
             search = machine.iter if len(machine) else lambda line: ()
+            everywhere_too = everywhere in shared.value
+
+            def made(out: list[tuple[str, str, int]]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["pattern", "file_path", "n"])
+
             for batch in batches:
                 out: list[tuple[str, str, int]] = []
-                for path, content in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    lines = content.split("\n")
-                    count = Counter(p for line in lines for p in {p for _, p in search(line)})
-                    if everywhere in shared.value:
+                for path, content in zip(batch.column("file_path"), batch.column("text"), strict=True):
+                    lines, count = content.as_py().split("\n"), Counter()
+                    for line in lines:
+                        count.update({p for _, p in search(line)})
+                    if everywhere_too:
                         count[everywhere] = len(lines)
-                    out += [(p, path, n) for p, n in count.items()]
-                columns = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["pattern", "file_path", "n"])
+                    name = path.as_py()
+                    out += [(p, name, n) for p, n in count.items()]
+                    if len(out) >= rows_out:
+                        yield made(out)
+                        out = []
+                if out:
+                    yield made(out)
 
         hits = own.mapInArrow(run, "pattern string, file_path string, n long")
         found = hits if found is None else found.unionByName(hits)

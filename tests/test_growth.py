@@ -65,3 +65,11 @@ def test_shared_windows_are_found_where_texts_are_read(spark):
     assert rows(found, "query_id", "chunk_id") == [(1, 0), (1, 1), (1, 5), (2, 0), (2, 1), (2, 5)] == rows(evaluate.sharing(own, asked, 8, sent=0), "query_id", "chunk_id")
     assert "window" not in plan(found)
     assert evaluate.sharing(own, asked.where("query_id = 3"), 8).count() == 0
+
+
+def test_matching_lines_leave_python_in_pieces(spark):
+    own = texts(spark, ["aa b\nb", "", None, "a\nAA\nab"]).coalesce(1)
+    asked = spark.createDataFrame([("a",), ("b",), ("aa",), ("",)], "pattern string")
+    whole, pieces = evaluate.matching_lines(own, asked), evaluate.matching_lines(own, asked, rows_out=1)
+    assert rows(pieces, "pattern", "file_path", "n") == rows(whole, "pattern", "file_path", "n")
+    assert sorted(r[2] for r in whole.where("pattern = 'b'").select("pattern", "file_path", "n").collect()) == [1, 2]
