@@ -25,6 +25,7 @@ DEFINES = (
     "abstract class", "data class", "fn", "fun", "package", "namespace", "protocol", "record", "typedef",
 )
 SQL_DEFINES = ("CREATE TABLE", "CREATE VIEW", "CREATE PROCEDURE", "CREATE FUNCTION")
+DEFINITION = r"(?i)(?:" + "|".join((*DEFINES, *SQL_DEFINES)) + r")\s"  # what any definition has
 GIT_URL = r"^(https?://|ssh://|git://|git\+ssh://|file://)|^[\w.-]+@[\w.-]+:(?!/)"
 UNSAFE_URL = r"^(ssh://|file://|git\+ssh://)|^[\w.-]+@[\w.-]+:(?!/)"
 

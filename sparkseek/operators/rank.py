@@ -60,19 +60,25 @@ def asked(queries: DataFrame) -> DataFrame:
 
 
 def named(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, file_path) of chunks in files whose stem is a symbol of the query; queries as given by asked.
+    """(query_id, chunk_id, file_path) of chunks that define a symbol of the query in files whose stem is one; queries as given by asked.
 
-    Stems are found by an equi-join on the few forms that match, before any content is looked at.
+    Stems are found by an equi-join on the few forms that match, and of chunks that define anything. A pair goes on only if the
+    chunk defines a name of the query, so what many files of one stem and many queries of one name make isn't kept.
     """
     stem = F.lower(text.stem(F.col("file_path")))
     plain = F.replace(stem, F.lit("_"), F.lit(""))
     singular = lambda s: F.regexp_replace(s, "s+$", "")
-    forms = chunks.select("chunk_id", "file_path", F.array(stem, plain).alias("_two"), F.explode(F.array_distinct(F.array(stem, plain, singular(stem), singular(plain)))).alias("key"))
+    own = chunks.where(F.col("content").rlike(text.DEFINITION))
+    forms = own.select("chunk_id", "file_path", "content", stem.alias("_stem"), plain.alias("_plain"), F.explode(F.array_distinct(F.array(stem, plain, singular(stem), singular(plain)))).alias("key"))
     low = F.transform("names", lambda n: F.lower(n))
     # an embedded symbol also matches stems that begin it
     starts = F.flatten(F.transform(low, lambda n: F.concat(F.array(n), F.transform(F.sequence(F.lit(LEAST_STEM), F.greatest(F.lit(LEAST_STEM), F.length(n))), lambda i: F.substring(n, F.lit(1), i)))))
-    keys = queries.where(F.size("names") > 0).select("query_id", "symbol", F.explode(F.array_distinct(F.when(F.col("symbol"), F.array("leaf")).otherwise(starts))).alias("key"))
-    return forms.join(keys, "key").where(F.col("symbol") | F.array_contains(F.col("_two"), F.col("key"))).select("query_id", "chunk_id", "file_path").distinct()
+    keys = queries.where(F.size("names") > 0).select("query_id", "symbol", "names", F.explode(F.array_distinct(F.when(F.col("symbol"), F.array("leaf")).otherwise(starts))).alias("key"))
+    # once for each pair: a symbol has one key, another query's keys can equal the stem and its plain form
+    begun = F.exists("names", lambda n: (F.lower(n) == F.col("_stem")) | ((F.length("_stem") >= LEAST_STEM) & F.startswith(F.lower(n), F.col("_stem"))))
+    once = F.col("symbol") | (F.col("key") == F.col("_stem")) | ((F.col("key") == F.col("_plain")) & ~begun)
+    said = F.exists("names", lambda n: F.contains(F.lower("content"), F.lower(n)) & text.defines(F.col("content"), n))
+    return forms.join(keys, "key").where(once & said).select("query_id", "chunk_id", "file_path")
 
 
 def boost(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from sparkseek.operators import evaluate, sparse
+from sparkseek.operators import evaluate, rank, sparse
 
 TEXTS = ["def getHTTPResponse my_func my_func _foo", "Plain words plain", None, "", "ÄÖ straße x1 abc123 ABC __ a_b_", "plain plain two"]
 
@@ -73,3 +73,12 @@ def test_matching_lines_leave_python_in_pieces(spark):
     whole, pieces = evaluate.matching_lines(own, asked), evaluate.matching_lines(own, asked, rows_out=1)
     assert rows(pieces, "pattern", "file_path", "n") == rows(whole, "pattern", "file_path", "n")
     assert sorted(r[2] for r in whole.where("pattern = 'b'").select("pattern", "file_path", "n").collect()) == [1, 2]
+
+
+def test_only_chunks_that_define_a_name_are_pulled_in(spark):
+    said = [("class MyService:\n    pass", "lib/myservice.cs"), ("x = MyService()", "src/myservice.py"), ("class Other:", "src/my_service.py"), ("create table b.MYSERVICE (", "src/MyServices.rb"), ("fn base::MyService<T>", "src/myse.rs"), ("fn MyService", "src/my.rs"), (None, "myservice.py")]
+    own = spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(said)], "chunk_id long, content string, file_path string")
+    asked = spark.createDataFrame([(1, "MyService"), (2, "how does MyService or MyServiceBase work"), (3, "nothing")], "query_id long, query string")
+    found = rank.named(rank.asked(asked), own)
+    assert rows(found, "query_id", "chunk_id") == [(1, 0), (1, 3), (2, 0), (2, 4)]
+    assert "HashAggregate" not in plan(found)
