@@ -517,7 +517,9 @@ def format_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.render import rendered
 
     own = views.chunks(spark, sf_dir).withColumns({"start_line": F.lit(1), "end_line": F.lit(1)})
-    found = sparse.search(_index(spark, sf_dir), views.queries(spark, sf_dir), 3).join(own, "chunk_id")
+    asked = views.queries(spark, sf_dir)
+    hits = sparse.search(_index(spark, sf_dir), asked, 3)
+    found = own.join(F.broadcast(hits) if 3 * asked.count() <= sparse.HITS_SENT else hits, "chunk_id")  # texts stay where they are read
     return rendered(found, "Results").select("query_id", F.md5("rendered").alias("digest"))
 
 

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from sparkseek import registry
 from sparkseek.operators import evaluate, rank, sparse
 
 TEXTS = ["def getHTTPResponse my_func my_func _foo", "Plain words plain", None, "", "ÄÖ straße x1 abc123 ABC __ a_b_", "plain plain two"]
@@ -82,3 +83,13 @@ def test_only_chunks_that_define_a_name_are_pulled_in(spark):
     found = rank.named(rank.asked(asked), own)
     assert rows(found, "query_id", "chunk_id") == [(1, 0), (1, 3), (2, 0), (2, 4)]
     assert "HashAggregate" not in plan(found)
+
+
+def test_texts_of_results_are_not_shuffled(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(registry.format_results(spark, "/root/testdata/sf0.001"))
+        monkeypatch.setattr(sparse, "HITS_SENT", 0)
+        assert "SortMergeJoin" in plan(registry.format_results(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
